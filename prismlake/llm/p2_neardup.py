@@ -1,6 +1,6 @@
 """Problem 2: records that repeat another's words with small edits, at any size of the collection.
 
-1. A record is the set of the 64-bit hashes of its distinct words. Records with equal sets form a class; only one
+1. A record is the set of the 32-bit hashes of its distinct words. Records with equal sets form a class; only one
    representative of each class goes on, so a group of copies, however large, costs one row.
 2. The fingerprint of a set is 156 min-wise components (the smallest value of 156 hash functions over the set): two
    sets agree in a component with a probability equal to their similarity. It is split into 26 blocks of 6. By the
@@ -57,7 +57,7 @@ def fingerprint_batches(batches: Iterator[pd.DataFrame], blocks: int = BLOCKS, r
         lists = pdf["w"].tolist()
         for at in range(0, len(lists), 256):
             part = lists[at : at + 256]
-            flat = np.concatenate(part).view(np.uint64)
+            flat = np.concatenate(part).view(np.uint32).astype(np.uint64)
             uniq, where = np.unique(flat, return_inverse=True)
             with np.errstate(over="ignore"):
                 h = ((uniq[:, None] * a + b) >> np.uint64(32)).astype(np.uint32)
@@ -76,9 +76,9 @@ def fingerprint_batches(batches: Iterator[pd.DataFrame], blocks: int = BLOCKS, r
 
 def block_pairs(prints: DataFrame, cell: int = CELL, max_hamming: int = MAX_HAMMING) -> DataFrame:
     """(a, b), a < b: the pairs that share a block and lie within the Hamming distance."""
-    rows = prints.select("id", "s0", "s1", F.explode("keys").alias("key"))
+    rows = prints.select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / cell).cast("int").alias("cells"))
-    live = rows.join(shared, "key")
+    live = rows.join(shared, "key").join(prints.select("id", "s0", "s1"), "id")
     left = live.select("key", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int").alias("cell"), F.col("id").alias("a"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
     right = live.select("key", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("id").alias("b"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
     distance = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
@@ -86,7 +86,7 @@ def block_pairs(prints: DataFrame, cell: int = CELL, max_hamming: int = MAX_HAMM
 
 
 def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """records: (id, w ARRAY<LONG> of distinct word hashes). Gives (members: id, rep) and (links: a, b, similarity),
+    """records: (id, w ARRAY<INT> of distinct word hashes). Gives (members: id, rep) and (links: a, b, similarity),
     the links between representatives of different classes; members of one class have similarity 1."""
     keyed = records.where(F.size("w") > 0).select("id", F.sort_array("w").alias("w")).select("id", "w", F.xxhash64("w").alias("k"), F.size("w").alias("n"))
     keyed = cut(keyed)
@@ -121,7 +121,7 @@ def papers(spark: SparkSession, sf_dir: str, min_words: int = MIN_WORDS) -> Data
     d = table(spark, sf_dir, "detail_rows").select(F.col("paper_idx").alias("id"), F.lit(None).cast("string").alias("title"), "abstract")
     one = s.unionAll(d.where(F.length("abstract") >= 2 * min_words - 1)).where("id IS NOT NULL").groupBy("id").agg(F.max("title").alias("title"), F.max("abstract").alias("abstract"))
     body = one.where("abstract IS NOT NULL").select("id", "title", words(F.col("abstract")).alias("body")).where(F.size("body") >= min_words)
-    return body.select("id", F.transform(F.array_distinct(F.concat("body", words(F.col("title")))), lambda x: F.xxhash64(x)).alias("w"))
+    return body.select("id", F.transform(F.array_distinct(F.concat("body", words(F.col("title")))), lambda x: F.hash(x)).alias("w"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
