@@ -8,14 +8,14 @@ import unicodedata
 
 #: Letters that have no decomposition.
 PLAIN = {"ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ß": "ss", "þ": "th", "ð": "d", "ı": "i"}
-TITLES = {"dr", "prof", "professor", "rev", "sir", "mr", "mrs", "ms", "phd", "md", "ed", "eds", "hrsg", "editor", "jr", "sr", "dphil"}
+TITLES = {"dr", "prof", "professor", "rev", "sir", "mr", "mrs", "ms", "phd", "md", "ed", "eds", "hrsg", "editor", "author", "jr", "sr", "dphil"}
 PARTICLES = {"de", "la", "le", "du", "des", "del", "della", "di", "da", "dos", "das", "do", "von", "van", "der", "den", "ten", "ter", "zu", "zum", "zur", "af", "al", "el", "y"}
 ORG_WORDS = {"board", "bd", "university", "univ", "universiteit", "institute", "inst", "centre", "center", "society", "soc", "soci", "laboratory", "lab", "labo", "department", "dept", "committee", "association", "assoc", "academy", "college", "group", "school", "faculty", "council", "foundation", "journal", "review", "press", "collective", "network", "project", "editors", "staff"}
 FILLERS = {"of", "for", "the", "and", "in", "at", "on", "university", "univ", "u", "a", "an"}
 #: Short forms of given names, one line per given name.
 NICKNAMES = """
 abigail abby; albert al bert; alexander alex sandy alec; alexandra alex sandra; alfred alf fred; alice allie; amanda mandy; andrew andy drew; angela angie
-anthony tony; anton tony; antonia toni; arthur art artie; barbara barb babs; beatrice bea trixie; benjamin ben benny; bernard bernie; bradley brad; caroline carrie; catherine cathy kate katie kitty
+anthony tony; anton tony toni; antonia toni; arthur art artie; barbara barb babs; beatrice bea trixie; benjamin ben benny; bernard bernie; bradley brad; caroline carrie; catherine cathy kate katie kitty
 charles charlie chuck chas; charlotte lottie; christina chris tina chrissy; christine chris; christopher chris kit topher; claude cl; clara clare; cynthia cindy; daniel dan danny; david dave davey; deborah deb debbie
 dennis den; dimitri dima mitya; donald don donnie; dorothy dot dottie dolly dory; douglas doug; edmund ed ned; edward ed eddie ned ted; edwin ed; eleanor ellie nell nora; elizabeth liz beth betty lizzie eliza bess libby
 emil em; emily em; esther essie hettie; eugene gene; evelyn evie; florence flo flossie; frances fran fanny; francis frank fran; franziska franzi sissi; frederick fred freddie fritz rick; gabriel gabe; genevieve gen jenny viv
@@ -54,7 +54,7 @@ SHORT = _nicknames()
 def parse(value: str) -> tuple[bool, list[str], list[str]]:
     """(is an organisation, full words, initials or abbreviations with their dots removed)."""
     s = plain(value)
-    s = re.sub(r"\bet\.? ?al\b\.?|\bph\. ?d\b\.?|\bd\. ?phil\b\.?|\((eds?|hrsg|editors?)\.?\)", " ", s)
+    s = re.sub(r"\[[^\]]*\]|\bet\.? ?al\b\.?|\bph\. ?d\b\.?|\bd\. ?phil\b\.?|\((eds?|hrsg|editors?)\.?\)", " ", s)
     s = re.sub(r"(?:[,;]\s*|\s)(?:eds?|hrsg)\.?\s*$", " ", s) if "," in s else s
     s = re.sub(r"['’`´]", "", s)
     found = re.findall(r"([^\W\d_]+|\d+)(\.?)", s)
@@ -125,52 +125,58 @@ def align(a: list[str], b: list[str]) -> tuple[list[tuple[int, int, float]], lis
     return out, [i for i in range(len(a)) if i not in ua], [j for j in range(len(b)) if j not in ub]
 
 
-#: What compare() says.
-NO, WEAK, STRONG = 0, 1, 2
+#: What the comparisons say: not the same; one side lacks a middle part; a given name stands as an initial; the same.
+NO, MISSING, INITIAL, STRONG = 0, 1, 2, 3
 
 
-def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str], ib: list[str], wb: list[float]) -> int:
-    """STRONG: every part of one has its counterpart in the other, the heaviest (rarest) word as a word and at least one
-    more part as a word. WEAK: a given name stands only as an initial, or one side lacks a middle part."""
+def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str], ib: list[str], wb: list[float]) -> tuple[int, int]:
+    """(kind, side): side is -1 if a is the shorter spelling, 1 if b is, 0 if neither.
+
+    STRONG: every part of one has its counterpart in the other, the heaviest (rarest) word as a word and at least one
+    more part as a word. INITIAL: every part has one, but all given names only as initials. MISSING: one side lacks
+    one part. Words on one side that stand against nothing while no given name agrees as a word: not the same.
+    """
     if not fa or not fb:
-        return STRONG if fa == fb and sorted(ia) == sorted(ib) and ia else NO
+        return NO, 0
     pairs, ra, rb = align(fa, fb)
     top_a, top_b = max(range(len(fa)), key=lambda i: wa[i]), max(range(len(fb)), key=lambda j: wb[j])
     if not any(i == top_a for i, _, _ in pairs) or not any(j == top_b for _, j, _ in pairs):
-        return NO
+        return NO, 0
     edits = sum(1 for _, _, s in pairs if 0.5 < s < 0.965 and s != 0.9)
     if edits > 2 or edits == 2 and len(pairs) < 3:
-        return NO
-    rest_a, rest_b, shortened = list(ia), list(ib), 0
+        return NO, 0
+    rest_a, rest_b, short_a, short_b = list(ia), list(ib), 0, 0
     for i in list(ra):  # a word against an initial
         if fa[i][0] in rest_b:
             rest_b.remove(fa[i][0])
             ra.remove(i)
-            shortened += 1
+            short_b += 1
     for j in list(rb):
         if fb[j][0] in rest_a:
             rest_a.remove(fb[j][0])
             rb.remove(j)
-            shortened += 1
+            short_a += 1
+    common = 0
     for x in list(rest_a):
         if x in rest_b:
             rest_a.remove(x)
             rest_b.remove(x)
-            shortened += 0
+            common += 1
     left_a, left_b = len(ra) + len(rest_a), len(rb) + len(rest_b)
     if left_a and left_b:
-        return NO
+        return NO, 0
     extra = left_a + left_b
     given_words = len(pairs) - 1
-    if not extra and (given_words >= 1 or len(fa) == len(fb) == 1 and not shortened and (sorted(ia) == sorted(ib))):
+    side = (short_a < short_b) - (short_a > short_b)
+    if not extra and (given_words >= 1 or not short_a and not short_b):
         total = sum(wa) + sum(wb)
         score = sum((wa[i] + wb[j]) * s for i, j, s in pairs) / total if total else 1.0
-        return STRONG if score >= 0.5 else WEAK
+        return (STRONG if score >= 0.5 else INITIAL), side
     if not extra:
-        return WEAK if shortened else NO
-    # one side lacks parts: a given name must stand on both sides, as word or initial
-    common_initials = sum(1 for x in ia if x in ib)
-    return WEAK if extra == 1 and (given_words >= 1 or shortened or common_initials) else NO
+        return INITIAL, side
+    if extra > 1 or not given_words and (ra or rb or not (short_a or short_b or common)):
+        return NO, 0
+    return MISSING, 1 if left_a else -1
 
 
 def compare_orgs(fa: list[str], wa: list[float], fb: list[str], wb: list[float]) -> int:
@@ -184,6 +190,13 @@ def compare_orgs(fa: list[str], wa: list[float], fb: list[str], wb: list[float])
                 ra.remove(i)
                 rb.remove(j)
                 break
+    for own, other, left, right in ((fa, fb, ra, rb), (fb, fa, rb, ra)):  # capitals of the words left on the other side
+        for i in list(left):
+            letters = sorted(own[i])
+            if 2 <= len(letters) <= len(right) and letters == sorted(other[j][0] for j in right if other[j] not in FILLERS):
+                left.remove(i)
+                right[:] = [j for j in right if other[j] in FILLERS]
+                pairs.append((i, 0, 0.9) if own is fa else (0, i, 0.9))
     typed = lambda w: w in FILLERS or any(len(w) > 3 and osa(w, f, 2) <= 2 for f in ("university", "universiteit"))
     if any(not typed(fa[i]) for i in ra) or any(not typed(fb[j]) for j in rb):
         return NO
