@@ -134,7 +134,8 @@ def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str],
 
     STRONG: every part of one has its counterpart in the other, the heaviest (rarest) word as a word and at least one
     more part as a word. INITIAL: every part has one, but all given names only as initials. MISSING: one side lacks
-    one part. Words on one side that stand against nothing while no given name agrees as a word: not the same.
+    one part. If no given name agrees as a word, an initial must stand for the first of the other side's given names.
+    Words and their weights are in the order of the name.
     """
     if not fa or not fb:
         return NO, 0
@@ -143,8 +144,10 @@ def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str],
     if not any(i == top_a for i, _, _ in pairs) or not any(j == top_b for _, j, _ in pairs):
         return NO, 0
     edits = sum(1 for _, _, s in pairs if 0.5 < s < 0.965 and s != 0.9)
-    if edits > 2 or edits == 2 and len(pairs) < 3:
+    if edits > 2 or edits == 2 and len(pairs) < 3 and min(len(fa[i]) for i, _, _ in pairs) < 5:
         return NO, 0
+    first_a = min((i for i in ra if fa[i][0] in ib), default=-1)
+    first_b = min((j for j in rb if fb[j][0] in ia), default=-1)
     rest_a, rest_b, short_a, short_b = list(ia), list(ib), 0, 0
     for i in list(ra):  # a word against an initial
         if fa[i][0] in rest_b:
@@ -174,7 +177,9 @@ def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str],
         return (STRONG if score >= 0.5 else INITIAL), side
     if not extra:
         return INITIAL, side
-    if extra > 1 or not given_words and (ra or rb or not (short_a or short_b or common)):
+    if extra > 1 or not given_words and not (short_a or short_b or common):
+        return NO, 0
+    if not given_words and (ra and min(ra) < first_a or rb and min(rb) < first_b or (ra or rb) and first_a < 0 and first_b < 0):
         return NO, 0
     return MISSING, 1 if left_a else -1
 
