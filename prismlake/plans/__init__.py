@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..registry import collect
 
-MODULES: list[str] = []
+MODULES: list[str] = ["lenses", "partitions"]
 
 
 def core_queries():
