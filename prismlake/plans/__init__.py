@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..registry import collect
 
-MODULES: list[str] = ["lenses", "partitions", "texts"]
+MODULES: list[str] = ["lenses", "partitions", "texts", "vectors"]
 
 
 def core_queries():
