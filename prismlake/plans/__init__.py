@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..registry import collect
 
-MODULES: list[str] = ["lenses", "partitions", "texts", "vectors", "searching", "evidence", "views", "files"]
+MODULES: list[str] = ["lenses", "partitions", "texts", "vectors", "searching", "evidence", "views", "files", "modelling"]
 
 
 def core_queries():
