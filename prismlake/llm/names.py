@@ -130,7 +130,7 @@ NO, MISSING, INITIAL, STRONG = 0, 1, 2, 3
 
 
 def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str], ib: list[str], wb: list[float]) -> tuple[int, int]:
-    """(kind, side): side is -1 if a is the shorter spelling, 1 if b is, 0 if neither.
+    """(kind, side): side is -1 if a is the shorter spelling, 1 if b is, 0 if neither, 2 if each is shorter in a way.
 
     STRONG: every part of one has its counterpart in the other, the heaviest (rarest) word as a word and at least one
     more part as a word. INITIAL: every part has one, but all given names only as initials. MISSING: one side lacks
@@ -179,8 +179,13 @@ def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str],
         return INITIAL, side
     if extra > 1 or not given_words and not (short_a or short_b or common):
         return NO, 0
-    if not given_words and (ra and min(ra) < first_a or rb and min(rb) < first_b or (ra or rb) and first_a < 0 and first_b < 0):
-        return NO, 0
+    if not given_words:  # initials come behind given names, so the side whose initial counts has no word left
+        if short_a and (ra or rb and min(rb) < first_b) or short_b and (rb or ra and min(ra) < first_a):
+            return NO, 0
+        if (ra or rb) and not short_a and not short_b:
+            return NO, 0
+        if short_a and left_a or short_b and left_b:
+            return MISSING, 2
     return MISSING, 1 if left_a else -1
 
 
@@ -195,16 +200,18 @@ def compare_orgs(fa: list[str], wa: list[float], fb: list[str], wb: list[float])
                 ra.remove(i)
                 rb.remove(j)
                 break
+    capital = 0.0
     for own, other, left, right in ((fa, fb, ra, rb), (fb, fa, rb, ra)):  # capitals of the words left on the other side
         for i in list(left):
             letters = sorted(own[i])
             if 2 <= len(letters) <= len(right) and letters == sorted(other[j][0] for j in right if other[j] not in FILLERS):
+                wo, wx = (wa, wb) if own is fa else (wb, wa)
+                capital += 0.9 * (wo[i] + sum(wx[j] for j in right if other[j] not in FILLERS))
                 left.remove(i)
                 right[:] = [j for j in right if other[j] in FILLERS]
-                pairs.append((i, 0, 0.9) if own is fa else (0, i, 0.9))
     typed = lambda w: w in FILLERS or any(len(w) > 3 and osa(w, f, 2) <= 2 for f in ("university", "universiteit"))
     if any(not typed(fa[i]) for i in ra) or any(not typed(fb[j]) for j in rb):
         return NO
     total = sum(wa) + sum(wb)
-    score = sum((wa[i] + wb[j]) * s for i, j, s in pairs) / total if total else 1.0
+    score = (capital + sum((wa[i] + wb[j]) * s for i, j, s in pairs)) / total if total else 1.0
     return STRONG if score >= 0.75 else NO

@@ -97,7 +97,7 @@ def title_relation(a: list[str], b: list[str]) -> int:
             missing += len(x)
         elif not x and all(w in FREE for w in y):
             missing += 1
-        elif abs(len(x) - len(y)) == 1 and names.osa("".join(x), "".join(y), 2) <= 2:
+        elif x and y and abs(len(x) - len(y)) == 1 and names.osa("".join(x), "".join(y), 2) <= 2:
             typed += 1
         else:
             return 0
