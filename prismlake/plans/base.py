@@ -19,8 +19,9 @@ def lenses(spark: SparkSession) -> DataFrame:
 
 def keep_longest(rows: DataFrame, key: str, text: str, ordinal: str) -> DataFrame:
     """One row per key: the longest text, the first on ties. Ranked before any cut of the text."""
-    w = Window.partitionBy(key).orderBy(F.desc(F.length(F.coalesce(text, F.lit("")))), ordinal)
-    return rows.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    w = Window.partitionBy(key).orderBy(F.desc("_chars"), ordinal)
+    ranked = rows.where(F.col(key).isNotNull() & (F.col(key) != "")).withColumn("_chars", F.length(F.coalesce(text, F.lit(""))))
+    return ranked.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_chars")  # the text itself is only shuffled if it is used
 
 
 def papers(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import link_form
 from ..operators import linkage as L
 from ..operators import search as S
+from ..session import cut
 from ..tables import table
 
 QUERY = "moral luck"
@@ -19,8 +20,8 @@ def _rows(spark, sf):
 
 def search_ranked(spark, sf):
     """The eight best rows for a typed query with a swapped letter and a plural; a top-k report."""
-    p = S.prepare(_rows(spark, sf), "paper_idx", "title", "authors")
-    return S.search(p, S.index(p), "moral lukc", 8)
+    p = cut(S.prepare(_rows(spark, sf), "paper_idx", "title", "authors"))
+    return S.search(p, cut(S.index(p)), "moral lukc", 8)
 
 
 def search_phrase_tiers(spark, sf):
