@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -133,44 +133,42 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(BooleanType())
-def injective_match(query: pd.Series, candidate: pd.Series, mode: pd.Series) -> pd.Series:
-    """Whether every query token has a candidate token of its own. mode: letters of p (prefix), i (initial), f (one edit)."""
+def _single(t: str) -> str:
+    if len(t) >= 5 and t.endswith("ies"):
+        return t[:-3] + "y"
+    if len(t) >= 5 and t.endswith(("sses", "shes", "ches", "xes", "zes")):
+        return t[:-2]
+    return t[:-1] if len(t) >= 4 and t.endswith("s") and not t.endswith(("ss", "us", "is", "ics")) else t
+
+
+def _near(a: str, b: str) -> bool:
+    if abs(len(a) - len(b)) > 1:
+        return False
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    if len(a) == len(b):
+        return a[k + 1 :] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
+    return a[k:] == b[k + 1 :] if len(a) < len(b) else a[k + 1 :] == b[k:]
+
 
-    def single(t: str) -> str:
-        if len(t) >= 5 and t.endswith("ies"):
-            return t[:-3] + "y"
-        if len(t) >= 5 and t.endswith(("sses", "shes", "ches", "xes", "zes")):
-            return t[:-2]
-        return t[:-1] if len(t) >= 4 and t.endswith("s") and not t.endswith(("ss", "us", "is", "ics")) else t
-
-    def near(a: str, b: str) -> bool:
-        if abs(len(a) - len(b)) > 1:
-            return False
-        k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        if len(a) == len(b):
-            return a[k + 1 :] == b[k + 1 :] or a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :]
-        return a[k:] == b[k + 1 :] if len(a) < len(b) else a[k + 1 :] == b[k:]
-
-    def fits(q: str, c: str, m: str) -> bool:
-        if q == c or single(q) == single(c):
-            return True
-        if "i" in m and len(q) == 1 and c.startswith(q) or "p" in m and len(q) >= 2 and c.startswith(q):
-            return True
-        return "f" in m and len(q) >= 4 and len(c) >= 4 and near(q, c)
-
-    def match(qs, cs, m) -> bool:
-        taken: dict[int, int] = {}
-
-        def place(i: int, seen: set[int]) -> bool:  # augmenting paths
-            for j, c in enumerate(cs):
-                if j not in seen and fits(qs[i], c, m):
-                    seen.add(j)
-                    if j not in taken or place(taken[j], seen):
-                        taken[j] = i
-                        return True
-            return False
-
-        return all(place(i, set()) for i in range(len(qs)))
-
-    return pd.Series([match(list(q), list(c), m) for q, c, m in zip(query, candidate, mode)], dtype="bool")
+def _fits(q: str, c: str, mode: str) -> bool:
+    if q == c or _single(q) == _single(c):
+        return True
+    if "i" in mode and len(q) == 1 and c.startswith(q) or "p" in mode and len(q) >= 2 and c.startswith(q):
+        return True
+    return "f" in mode and len(q) >= 4 and len(c) >= 4 and _near(q, c)
+
+
+def tokens_match(query: list[str], candidate: list[str], mode: str) -> bool:
+    """Whether every query token has a candidate token of its own. mode: letters of p (prefix), i (initial), f (one edit)."""
+    taken: dict[int, int] = {}
+
+    def place(i: int, seen: set[int]) -> bool:  # augmenting paths
+        for j, c in enumerate(candidate):
+            if j not in seen and _fits(query[i], c, mode):
+                seen.add(j)
+                if j not in taken or place(taken[j], seen):
+                    taken[j] = i
+                    return True
+        return False
+
+    return all(place(i, set()) for i in range(len(query)))

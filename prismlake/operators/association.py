@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def eligible(labels: DataFrame, lenses: DataFrame) -> DataFrame:
     """Labels that count: all of clusterings, the known ones of metadata lenses. lenses: (lens_id, algorithm)."""
@@ -24,14 +26,16 @@ def category_label(label: Column, name: Column, algorithm: Column) -> Column:
 
 
 def contingency(labels: DataFrame, left: str, right: str, key: str = "paper") -> DataFrame:
-    """(a, b, observed): rows by the labels of two lenses; one shuffle on the key."""
-    l = labels.where(F.col("lens_id") == left).select(key, F.col("label").alias("a"))
-    r = labels.where(F.col("lens_id") == right).select(key, F.col("label").alias("b"))
-    return l.join(r, key).groupBy("a", "b").agg(F.count("*").alias("observed"))
+    """(a, b, observed): rows by the labels of two lenses; one scan and one shuffle on the key, no join."""
+    side = lambda lens: F.max(F.when(F.col("lens_id") == lens, F.col("label")))
+    both = labels.where(F.col("lens_id").isin(left, right)).groupBy(key).agg(side(left).alias("a"), side(right).alias("b"))
+    return both.where("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("observed"))
 
 
 def cells(counts: DataFrame) -> DataFrame:
-    """Every cell, empty ones too: observed, expected, Pearson residual. The margins are as many as there are labels."""
+    """Every cell, empty ones too: observed, expected, Pearson residual. The table of counts, whose size is labels x
+    labels, is written once, as it is read four times."""
+    counts = cut(counts)
     rows = counts.groupBy("a").agg(F.sum("observed").alias("row_n"))
     cols = counts.groupBy("b").agg(F.sum("observed").alias("col_n"))
     n = counts.agg(F.sum("observed").alias("n"))
@@ -57,12 +61,15 @@ def corrected_v(cell: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def overview(labels: DataFrame, lenses: DataFrame, key: str = "paper") -> DataFrame:
-    """(left_id, right_id, v, papers) of all unordered lens pairs, from one self-join on the key."""
+    """(left_id, right_id, v, papers) of all unordered lens pairs.
+
+    A row's labels come together in one shuffle on the key; its pairs, at most lenses x lenses, are made inside the row.
+    """
     own = eligible(labels, lenses).join(F.broadcast(lenses.select("lens_id", "ordinal")), "lens_id")
-    l = own.select(key, F.col("lens_id").alias("left_id"), F.col("ordinal").alias("lo"), F.col("label").alias("a"))
-    r = own.select(key, F.col("lens_id").alias("right_id"), F.col("ordinal").alias("ro"), F.col("label").alias("b"))
+    lists = own.groupBy(key).agg(F.collect_list(F.struct("ordinal", "lens_id", "label")).alias("l"))
+    made = lambda x: F.transform(F.filter("l", lambda y: y["ordinal"] > x["ordinal"]), lambda y: F.struct(x["lens_id"].alias("left_id"), y["lens_id"].alias("right_id"), x["label"].alias("a"), y["label"].alias("b")))
     pair = ["left_id", "right_id"]
-    counts = l.join(r, key).where("lo < ro").groupBy(*pair, "a", "b").agg(F.count("*").alias("observed"))
+    counts = cut(lists.select(F.inline(F.flatten(F.transform("l", made)))).groupBy(*pair, "a", "b").agg(F.count("*").alias("observed")))
     rows = counts.groupBy(*pair, "a").agg(F.sum("observed").alias("row_n"))
     cols = counts.groupBy(*pair, "b").agg(F.sum("observed").alias("col_n"))
     n = counts.groupBy(*pair).agg(F.sum("observed").alias("n"))

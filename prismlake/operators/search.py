@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_phrase, equivalent, injective_match, one_edit, search_form, tokens
+from ..functions.text import contains_phrase, equivalent, one_edit, search_form, tokens, tokens_match
 
-#: Score, tokens looked at, and what injective_match may use; in the order of trial after the phrase tiers.
+#: Score, tokens looked at, and what tokens_match may use, in the order of trial; the title phrase (1100) comes between.
 TIERS = [
     (1150, "at", ""), (1050, "tt", ""), (950, "at", "pi"), (900, "tt", "p"), (850, "at", "pif"), (800, "tt", "pf"),
     (750, "ct", ""), (650, "ct", "pi"), (600, "ct", "pif"),
@@ -51,18 +52,31 @@ def vocabulary_matches(postings: DataFrame, token: str) -> DataFrame:
 
 
 def score(query: str, parts: list[str]) -> Column:
-    """The tier of a prepared row, plus the number of query tokens in the token tiers; -1 if it doesn't match."""
-    q, n = F.lit(query), len(parts)
-    qt = F.array(*[F.lit(p) for p in parts])
-    s = (
+    """The tier of a prepared row, plus the number of query tokens in the token tiers; -1 if it doesn't match.
+
+    The phrase tiers are built-in; one UDF tries the token tiers, and only on the rows that get there.
+    """
+    n = len(parts)
+
+    @F.pandas_udf("int")
+    def tier(title_tokens: pd.Series, author_tokens: pd.Series, phrase: pd.Series) -> pd.Series:
+        def one(t, a, p) -> int:
+            sides = {"tt": list(t), "at": list(a), "ct": [*t, *a]}
+            for value, where, mode in TIERS:
+                if p and value < 1100:
+                    return 1100
+                if tokens_match(parts, sides[where], mode):
+                    return value + n
+            return -1
+
+        return pd.Series([one(t, a, p) for t, a, p in zip(title_tokens, author_tokens, phrase)], dtype="int32")
+
+    q = F.lit(query)
+    return (
         F.when(F.col("title") == q, 1400).when(F.col("authors") == q, 1350).when(F.col("title").startswith(query), 1250)
         .when(F.col("authors").startswith(query), 1200).when(contains_phrase(F.col("authors"), q), 1175)
+        .otherwise(tier("tt", "at", contains_phrase(F.col("title"), q)))
     )
-    for value, where, mode in TIERS:
-        if where == "tt" and value == 1050:
-            s = s.when(contains_phrase(F.col("title"), q), 1100)
-        s = s.when(injective_match(qt, F.col(where), F.lit(mode)), value + n)
-    return s.otherwise(-1)
 
 
 def search(prepared: DataFrame, postings: DataFrame, query: str, limit: int = 8) -> DataFrame:

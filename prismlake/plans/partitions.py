@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import granularity_band, stability_band
 from ..operators import partition as P
+from ..session import cut
 from ..tables import table
 
 
@@ -19,7 +20,7 @@ def _labels(spark, sf):
 
 
 def _counts(spark, sf):
-    return _labels(spark, sf).groupBy("a", "b").agg(F.count("*").alias("observed"))
+    return cut(_labels(spark, sf).groupBy("a", "b").agg(F.count("*").alias("observed")))  # labels x labels rows, read several times
 
 
 def contingency_noise(spark, sf):

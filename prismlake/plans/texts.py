@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import textstats as S
+from ..session import cut
 from ..tables import table
 from .base import PAPERS_CTE, PERIOD_SQL, TYPE_SQL, YEAR_SQL, papers
 
@@ -118,7 +119,7 @@ def json_fields(spark, sf):
 
 def _docs(spark, sf):
     """Titles of the deduplicated papers with the export batch as class."""
-    return papers(spark, sf).select(F.col("paper_id").alias("doc"), "title", F.coalesce("export_batch", F.lit(0)).alias("label"))
+    return cut(papers(spark, sf).select(F.col("paper_id").alias("doc"), "title", F.coalesce("export_batch", F.lit(0)).alias("label")))
 
 
 def tokens_inverted_index(spark, sf):
@@ -130,7 +131,7 @@ def tokens_inverted_index(spark, sf):
 def _terms(spark, sf, min_df=5, max_df=0.42, features=2000):
     docs = _docs(spark, sf)
     n = docs.count()
-    tf = S.counts(docs, "doc", S.ngrams(S.word_list(F.col("title"), 3, STOP)))
+    tf = cut(S.counts(docs, "doc", S.ngrams(S.word_list(F.col("title"), 3, STOP))))
     v = S.bounded(tf, n, min_df, max_df, features)
     return docs, tf, v, n
 
@@ -163,10 +164,10 @@ def tfidf_terms_by_class(spark, sf):
 
 def _topics(spark, sf, k=6):
     docs = _docs(spark, sf)
-    tf = S.counts(docs, "doc", F.array_distinct(S.word_list(F.col("title"), 4, STOP)))
+    tf = cut(S.counts(docs, "doc", F.array_distinct(S.word_list(F.col("title"), 4, STOP))))
     top = tf.join(docs.select("doc", F.col("label").alias("topic")), "doc").groupBy("topic", "term").agg(F.count("*").alias("n"))
     ranked = top.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), "term"))).where(F.col("place") <= k)
-    return docs, tf, top, ranked
+    return docs, tf, top, cut(ranked)
 
 
 def npmi_smoothed(spark, sf):
