@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..functions.text import contains_phrase, equivalent, one_edit, search_form, tokens, tokens_match
 
 #: Score, tokens looked at, and what tokens_match may use, in the order of trial; the title phrase (1100) comes between.
@@ -44,7 +45,7 @@ def vocabulary_matches(postings: DataFrame, token: str) -> DataFrame:
     """Tokens a query token stands for: equal, singular/plural or prefixed ones; else, from four letters, one edit away."""
     vocab = postings.select("token").distinct()
     q = F.lit(token)
-    direct = vocab.where((F.substring("token", 1, 2) == token[:2]) & (equivalent(q, F.col("token")) | F.col("token").startswith(token)))
+    direct = cut(vocab.where((F.substring("token", 1, 2) == token[:2]) & (equivalent(q, F.col("token")) | F.col("token").startswith(token))))
     if len(token) < 4 or direct.head(1):
         return direct
     near = vocab.where(F.length("token").between(max(4, len(token) - 1), len(token) + 1)).withColumn("q", q)
@@ -88,7 +89,7 @@ def search(prepared: DataFrame, postings: DataFrame, query: str, limit: int = 8)
         return empty
     least = None
     for p in (p for p in parts if len(p) >= 2):
-        rows = postings.join(vocabulary_matches(postings, p), "token", "left_semi").select("row").distinct()
+        rows = cut(postings.join(vocabulary_matches(postings, p), "token", "left_semi").select("row").distinct())
         n = rows.count()
         if not n:
             return empty
