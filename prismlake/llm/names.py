@@ -182,7 +182,7 @@ def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str],
     if not given_words:  # initials come behind given names, so the side whose initial counts has no word left
         if short_a and (ra or rb and min(rb) < first_b) or short_b and (rb or ra and min(ra) < first_a):
             return NO, 0
-        if (ra or rb) and not short_a and not short_b:
+        if not short_a and not short_b and (ra or rb or not (ia and ib and ia[0] == ib[0])):
             return NO, 0
         if short_a and left_a or short_b and left_b:
             return MISSING, 2
