@@ -16,7 +16,7 @@ FILLERS = {"of", "for", "the", "and", "in", "at", "on", "university", "univ", "u
 NICKNAMES = """
 abigail abby; albert al bert; alexander alex sandy alec; alexandra alex sandra; alfred alf fred; alice allie; amanda mandy; andrew andy drew; angela angie
 anthony tony; anton tony toni; antonia toni; arthur art artie; barbara barb babs; beatrice bea trixie; benjamin ben benny; bernard bernie; bradley brad; caroline carrie; catherine cathy kate katie kitty
-charles charlie chuck chas; charlotte lottie; christina chris tina chrissy; christine chris; christopher chris kit topher; claude cl; clara clare; cynthia cindy; daniel dan danny; david dave davey; deborah deb debbie
+charles charlie chuck chas; charlotte lottie; christina chris tina chrissy; christine chris; christopher chris kit topher; clara clare; cynthia cindy; daniel dan danny; david dave davey; deborah deb debbie
 dennis den; dimitri dima mitya; donald don donnie; dorothy dot dottie dolly dory; douglas doug; edmund ed ned; edward ed eddie ned ted; edwin ed; eleanor ellie nell nora; elizabeth liz beth betty lizzie eliza bess libby
 emil em; emily em; esther essie hettie; eugene gene; evelyn evie; florence flo flossie; frances fran fanny; francis frank fran; franziska franzi sissi; frederick fred freddie fritz rick; gabriel gabe; genevieve gen jenny viv
 geoffrey geoff; george georgie; gerald gerry jerry; gertrude trudy; gilbert gil; giulia julia; gregory greg; hannah annie; hans hansi; harold harry hal; harriet hattie; heinrich heinz heini; helen nell nellie; henry harry hank hal; hiroshi hiro; hubert bert
