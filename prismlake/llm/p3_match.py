@@ -3,8 +3,8 @@
 A cascade of rules, strongest first. Each rule is an exact join on a weaker combination of attributes (title key,
 author word, year, title with one word left out, main title, all author words), followed by checks of title, authors and years
 on the joined pairs only. What a rule resolves is taken out of the later ones by an anti-join: a record can be one
-work in each provider, so the unit that is resolved is (record, provider), and a work once taken stays taken by its
-record's pass.
+work in each provider, so the unit that is resolved is (record, provider). Several records may be one work, as papers
+are drawn twice.
 
 A rule's confidence is its precision over the pairs that the logged search hit labels (right: the hit names this work
 and its authors agreed; wrong: the hit names it and they did not, or names another one with certainty), smoothed by
