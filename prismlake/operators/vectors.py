@@ -80,8 +80,12 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v: s
     return ranked.select("query", "neighbour", "rank", (-F.col("s") if metric == "cosine" else F.col("s")).alias("score"))
 
 
-def approximate_knn(corpus: DataFrame, queries: DataFrame, k: int, tables: int = 24, bits: int = 6, key: str = "vec_id", v: str = "embedding", seed: int = 5) -> DataFrame:
-    """(query, neighbour, rank, score) by random-hyperplane tables; every row is indexed, candidates are verified exactly."""
+def approximate_knn(corpus: DataFrame, queries: DataFrame, k: int, tables: int = 96, bits: int = 6, key: str = "vec_id", v: str = "embedding", seed: int = 5) -> DataFrame:
+    """(query, neighbour, rank, score) by random-hyperplane tables; every row is indexed, candidates are verified exactly.
+
+    A neighbour at angle t is found with probability 1 - (1 - (1 - t/pi)^bits)^tables. The defaults are for vectors whose
+    nearest neighbours are far off (60 degrees: 0.9998, 75 degrees: 0.979); the closer they are, the fewer tables do.
+    """
     rng = np.random.default_rng(seed)
     width = len((corpus.select(v).first() or [[0]])[0])
     planes = rng.standard_normal((tables * bits, width))

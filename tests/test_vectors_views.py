@@ -16,6 +16,7 @@ from prismlake.operators import textstats as S
 from prismlake.operators import vectors as V
 from prismlake.sources import readers as R
 from prismlake.sources import sinks as K
+from prismlake.tables import table
 
 
 def vectors(spark, n=40, d=6, seed=0):
@@ -60,6 +61,12 @@ def test_approximate_recall(spark):
     assert r >= 0.9
 
 
+def test_approximate_recall_of_the_defaults(spark, sf):
+    df = table(spark, sf, "embeddings")
+    r = V.recall(V.knn(df, df, 5), V.approximate_knn(df, df, 5), 5).agg(F.count("*").alias("n"), F.avg("recall").alias("mean")).first()
+    assert r["n"] == df.count() and r["mean"] >= 0.9
+
+
 def test_empty_vectors(spark):
     _, df = vectors(spark)
     assert V.knn(df, df.limit(0), 3).collect() == []
