@@ -54,8 +54,8 @@ def lda_configurations(spark, sf):
 
 
 def density_grid(spark, sf):
-    """Density clustering of three dimensions of the embeddings over a grid of parameters."""
-    x = _e(spark, sf).where("vec_id < 2000").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+    """Density clustering of three dimensions of the embeddings, all points, over a grid of parameters; raises above MAX_POINTS."""
+    x = _e(spark, sf).select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
     grid = spark.createDataFrame([(f"mcs{a}_ms{b}_{m}", a, b, m) for a in (8, 15) for b in (3, 5) for m in ("eom", "leaf")], "config string, min_size int, min_samples int, method string")
     runs = M.density_grid(x, "vec_id", ["x", "y", "z"], grid)
     return runs.groupBy("config").agg(F.count_distinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") < 0).alias("noise"), F.count("*").alias("points"))

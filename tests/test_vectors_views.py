@@ -72,6 +72,14 @@ def test_empty_vectors(spark):
     assert V.knn(df, df.limit(0), 3).collect() == []
 
 
+def test_density_grid_takes_all_points(spark, tmp_path):
+    from prismlake.plans.modelling import density_grid
+
+    x, _ = vectors(spark, 60, 3)
+    spark.createDataFrame([(1970 + i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r["points"] for r in density_grid(spark, str(tmp_path)).collect()} == {60}
+
+
 def test_npmi_order(spark):
     tf = spark.createDataFrame([(0, "a", 1), (0, "b", 1), (1, "a", 1), (1, "b", 1), (2, "c", 1), (3, "d", 1)], "doc int, term string, tf int")
     topics = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "c"), ("u", "d")], "topic string, term string")
