@@ -14,8 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .sampling import random_pairs
+
 #: Values of one broadcast block of queries: at most 64 MB of doubles.
 BLOCK_VALUES = 8_000_000
+#: Rows of one block where all rows are compared with all.
+BLOCK_ROWS = 8_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,6 +40,14 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Parts of the batches whose distances from so many rows are at most BLOCK_VALUES values."""
+    step = max(1, BLOCK_VALUES // max(1, rows))
+    for pdf in batches:
+        for at in range(0, len(pdf), step):
+            yield pdf.iloc[at : at + step]
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v: str = "embedding", metric: str = "cosine") -> DataFrame:
     """(query, neighbour, rank, score): the k nearest others, ties by key. Score: cosine, or squared distance.
 
@@ -56,7 +69,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v: s
             if metric == "cosine":
                 q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
             top_s, top_i = np.empty((len(qid), 0)), np.empty((len(qid), 0), np.int64)
-            for pdf in batches:
+            for pdf in slices(batches, len(qid)):
                 x = np.array(pdf[v].to_list(), dtype=np.float64)
                 ids = pdf[key].to_numpy(np.int64)
                 if metric == "cosine":
@@ -183,6 +196,89 @@ def trustworthiness(rows: DataFrame, key: str, source: str, shown: str, k: int)
     return r.agg((1.0 - 2.0 * penalty / (n * k * (2.0 * n - 3.0 * k - 1.0))).alias("trustworthiness"), n.cast("long").alias("n"))
 
 
+def blocks(rows: DataFrame, key: str, widths: int) -> Iterator[pd.DataFrame]:
+    """All rows, in blocks for the driver of about BLOCK_ROWS rows and BLOCK_VALUES values; widths: values of a row."""
+    n = -(-rows.count() // min(BLOCK_ROWS, max(1, BLOCK_VALUES // widths)))
+    for b in range(n):
+        part = rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).toPandas()
+        if len(part):
+            yield part
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances of all rows of a from all rows of b."""
+    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)
+
+
+def silhouette_whole(rows: DataFrame, key: str, v: str, label: str) -> DataFrame:
+    """(key, label, silhouette) as silhouette() gives it, of all rows: each block is compared with all rows in batches."""
+    spark, out = rows.sparkSession, None
+    rows = rows.select(F.col(key).cast("long").alias("x"), F.col(label).cast("long").alias("lx"), F.col(v).alias("v"))
+    for part in blocks(rows, "x", len((rows.first() or [0, 0, [0]])[2])):
+        shared = spark.sparkContext.broadcast((part["x"].to_numpy(np.int64), part["lx"].to_numpy(np.int64), np.array(part["v"].to_list(), dtype=np.float64)))
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, lx, q = shared.value
+            total: dict[int, list] = {}
+            for pdf in slices(batches, len(x)):
+                other = x[:, None] != pdf["x"].to_numpy(np.int64)[None]
+                d = np.sqrt(distances(q, np.array(pdf["v"].to_list(), dtype=np.float64))) * other
+                ly = pdf["lx"].to_numpy(np.int64)
+                for l in np.unique(ly):
+                    t = total.setdefault(int(l), [np.zeros(len(x)), np.zeros(len(x), np.int64)])
+                    t[0] += d[:, ly == l].sum(1)
+                    t[1] += other[:, ly == l].sum(1)
+            for l, (d, n) in total.items():
+                yield pd.DataFrame({"x": x, "lx": lx, "ly": l, "s": d, "n": n})
+
+        found = rows.mapInPandas(sums, "x long, lx long, ly long, s double, n long")
+        out = found if out is None else out.unionAll(found)
+    if out is None:
+        return spark.createDataFrame([], f"{key} long, label long, silhouette double")
+    d = out.groupBy("x", "lx", "ly").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("d"))
+    s = d.groupBy("x", "lx").agg(F.max(F.when(F.col("lx") == F.col("ly"), F.col("d"))).alias("a"), F.min(F.when(F.col("lx") != F.col("ly"), F.col("d"))).alias("b"))
+    value = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return s.select(F.col("x").alias(key), F.col("lx").alias("label"), value.alias("silhouette"))
+
+
+def trustworthiness_whole(rows: DataFrame, key: str, source: str, shown: str, k: int) -> DataFrame:
+    """(trustworthiness, n) as trustworthiness() gives it, of all rows: the k neighbours shown of every row, then, block by
+    block, how many rows are nearer in the source than each of them."""
+    spark, out = rows.sparkSession, None
+    near = knn(rows, rows, k, key, shown, "euclidean").select("query", "neighbour")
+    each = rows.select(F.col(key).cast("long").alias("x"), F.col(source).alias("v"))
+    pairs = near.join(each.toDF("query", "a"), "query").join(each.toDF("neighbour", "b"), "neighbour")
+    pairs = cut(pairs.select("query", "neighbour", "a", F.round(squared_distance(F.col("a"), F.col("b")), 9).alias("ds")))
+    for part in blocks(pairs, "query", len((each.first() or [0, [0]])[1])):
+        shared = spark.sparkContext.broadcast((part["query"].to_numpy(np.int64), part["neighbour"].to_numpy(np.int64), np.array(part["a"].to_list(), dtype=np.float64), part["ds"].to_numpy(np.float64)))
+
+        def nearer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, y, q, ds = shared.value
+            n = np.zeros(len(x), np.int64)
+            for pdf in slices(batches, len(x)):
+                ids = pdf["x"].to_numpy(np.int64)[None]
+                d = np.round(distances(q, np.array(pdf["v"].to_list(), dtype=np.float64)), 9)
+                n += (((d < ds[:, None]) | (d == ds[:, None]) & (ids < y[:, None])) & (ids != x[:, None]) & (ids != y[:, None])).sum(1)
+            yield pd.DataFrame({"query": x, "neighbour": y, "n": n})
+
+        found = each.mapInPandas(nearer, "query long, neighbour long, n long")
+        out = found if out is None else out.unionAll(found)
+    if out is None:
+        return spark.createDataFrame([], "trustworthiness double, n long")
+    rank = out.groupBy("query", "neighbour").agg((F.sum("n") + 1).alias("rs"))
+    n = rows.count()
+    return rank.agg((1.0 - 2.0 * F.sum(F.greatest(F.col("rs") - k, F.lit(0))) / F.lit(float(n) * k * (2.0 * n - 3.0 * k - 1.0))).alias("trustworthiness"), F.lit(n).cast("long").alias("n"))
+
+
+def pair_distances(rows: DataFrame, key: str, source: str, shown: str, pairs: int, seed) -> DataFrame:
+    """(d, e): squared distances in the source and as shown of random pairs over all rows (equal ends left out)."""
+    numbered = rows.select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("number"), F.col(key))
+    end = numbered.join(rows.select(key, source, shown), key)
+    drawn = random_pairs(rows.sparkSession, pairs, max(1, rows.count()), seed)
+    j = drawn.join(end.select(F.col("number").alias("left"), F.col(source).alias("a"), F.col(shown).alias("sa")), "left").join(end.select(F.col("number").alias("right"), F.col(source).alias("b"), F.col(shown).alias("sb")), "right")
+    return j.select(F.round(squared_distance(F.col("a"), F.col("b")), 6).alias("d"), F.round(squared_distance(F.col("sa"), F.col("sb")), 6).alias("e"))
+
+
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with mean ranks for ties."""
     def mean_rank(c: str) -> Column:

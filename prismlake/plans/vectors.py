@@ -130,13 +130,32 @@ def distance_spearman(spark, sf):
     return V.spearman(d, "d", "e").select(F.round("rho", 6).alias("rho"))
 
 
+def _whole(spark, sf):
+    return _e(spark, sf).select("vec_id", "label", "embedding", F.slice("embedding", 1, 3).alias("shown"))
+
+
+def silhouette_whole(spark, sf):
+    """Of all rows; silhouette, trustworthiness and distance_spearman take every fifth id, as their SQL does."""
+    s = V.silhouette_whole(_whole(spark, sf), "vec_id", "embedding", "label")
+    return s.groupBy("label").agg(F.round(F.avg("silhouette"), 6).alias("silhouette"), F.count("*").alias("n"))
+
+
+def trustworthiness_whole(spark, sf):
+    return V.trustworthiness_whole(_whole(spark, sf), "vec_id", "embedding", "shown", K).select(F.round("trustworthiness", 6).alias("trustworthiness"), "n")
+
+
+def distance_spearman_whole(spark, sf):
+    """Over 100,000 random pairs of all rows. Hash streams have no SQL twin."""
+    return V.spearman(V.pair_distances(_whole(spark, sf), "vec_id", "embedding", "shown", 100_000, "spearman"), "d", "e").select(F.round("rho", 6).alias("rho"))
+
+
 def projection_agreement(spark, sf):
-    """Mean neighbour overlap over all pairs of three projections (dimension triples)."""
-    e = _e(spark, sf).where("vec_id % 5 = 0")
+    """Mean neighbour overlap of all rows over all pairs of three projections (dimension triples)."""
+    e = _e(spark, sf)
     lists = []
     for i in range(3):
         d = e.select("vec_id", F.slice("embedding", 1 + 3 * i, 3).alias("embedding"))
-        lists.append(V.knn(d, d.where("vec_id % 20 = 0"), K, metric="euclidean").groupBy("query").agg(F.collect_list("neighbour").alias(f"n{i}")))
+        lists.append(V.knn(d, d, K, metric="euclidean").groupBy("query").agg(F.collect_list("neighbour").alias(f"n{i}")))
     j = lists[0].join(lists[1], "query").join(lists[2], "query")
     o = sum((F.size(F.array_intersect(f"n{a}", f"n{b}")) / float(K) for a, b in ((0, 1), (0, 2), (1, 2))), F.lit(0.0)) / 3.0
     return j.agg(F.round(F.avg(o), 6).alias("agreement"))
@@ -169,7 +188,7 @@ _PUR = _KNN + ", pu AS (SELECT query, o.label, avg(CASE WHEN o.label = n.label T
 
 QUERIES = {f.__name__: f for f in (
     normalised_vectors, knn_exact, knn_euclidean, knn_approximate, knn_recall_self, without_self, neighbour_overlap, cluster_centroids, centroid_assign, centroid_margin, centroid_accuracy, representatives_top10,
-    knn_purity_micro_macro, permutation_null, silhouette, trustworthiness, distance_spearman, projection_agreement, shape_balance, array_differences,
+    knn_purity_micro_macro, permutation_null, silhouette, trustworthiness, distance_spearman, silhouette_whole, trustworthiness_whole, distance_spearman_whole, projection_agreement, shape_balance, array_differences,
 )}
 SQL = {
     "normalised_vectors": _N + " SELECT vec_id, round(sqrt(list_dot_product(u, u)), 6) AS norm, round(u[1], 6) AS first FROM u",

@@ -80,6 +80,23 @@ def test_density_grid_takes_all_points(spark, tmp_path):
     assert {r["points"] for r in density_grid(spark, str(tmp_path)).collect()} == {60}
 
 
+def test_projection_quality_of_all_rows(spark, monkeypatch, tmp_path):
+    from prismlake.plans import vectors as Q
+
+    x, df = vectors(spark, 60, 9)
+    df = df.select((F.col("vec_id") * 5 + 1).alias("vec_id"), (F.col("vec_id") % 3).alias("label"), "embedding")  # no id is a multiple of five
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = df.withColumn("shown", F.slice("embedding", 1, 3)).repartition(3)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 150)
+    values = lambda d: {r["vec_id"]: (r["label"], round(r["silhouette"], 5)) for r in d.collect()}
+    assert values(V.silhouette_whole(rows, "vec_id", "embedding", "label")) == values(V.silhouette(rows, "vec_id", "embedding", "label"))
+    want = V.trustworthiness(rows, "vec_id", "embedding", "shown", 5).first()
+    assert tuple(V.trustworthiness_whole(rows, "vec_id", "embedding", "shown", 5).first()) == pytest.approx(tuple(want))
+    assert sum(r["n"] for r in Q.silhouette_whole(spark, str(tmp_path)).collect()) == Q.trustworthiness_whole(spark, str(tmp_path)).first()["n"] == 60
+    assert Q.distance_spearman_whole(spark, str(tmp_path)).first()["rho"] > 0
+    assert Q.projection_agreement(spark, str(tmp_path)).first()["agreement"] > 0
+
+
 def test_npmi_order(spark):
     tf = spark.createDataFrame([(0, "a", 1), (0, "b", 1), (1, "a", 1), (1, "b", 1), (2, "c", 1), (3, "d", 1)], "doc int, term string, tf int")
     topics = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "c"), ("u", "d")], "topic string, term string")
