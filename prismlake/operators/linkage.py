@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import link_form, sequence_ratio, surname
+from ..functions.text import link_form, one_edit, sequence_ratio, surname
 
 #: Candidate types that agree with a source type.
 COMPATIBLE = {
@@ -60,6 +60,20 @@ def best_candidate(pairs: DataFrame, key: str, title: str, creator: str, year: s
     return s.drop("families").withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
+def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): equal words, and words one edit or swap apart. Such words share a form, themselves or themselves without one
+    letter, so the join on the forms is exact. left: (a) distinct, right: (b) distinct."""
+    less = lambda t: F.explode(F.expr(f"array_distinct(concat(array({t}), transform(sequence(1, length({t})), i -> concat(substr({t}, 1, i - 1), substr({t}, i + 1)))))")).alias("form")
+    pairs = left.select("a", less("a")).join(right.select("b", less("b")), "form").select("a", "b").distinct()
+    return pairs.where(one_edit("a", "b"))
+
+
+def sharing_words(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, other): pairs whose titles share a word, equal or, from four letters, one edit apart. left: (key, a), right: (other, b)."""
+    near = near_words(left.select("a").distinct(), right.select("b").distinct()).where("a = b OR least(length(a), length(b)) >= 4")
+    return left.join(near, "a").join(right, "b").select(key, other).distinct()
+
+
 def precedence(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, used): the first source's accepted value, else the second's, else null."""
     j = first.select(key, F.col(value).alias("v1")).join(second.select(key, F.col(value).alias("v2")), key, "full")

@@ -81,11 +81,13 @@ def linkage_score(spark, sf):
 
 
 def linkage_scores(spark, sf):
-    """Title ratio, author and year scored for each record and the works that share its first and last title word."""
-    p = _logged(spark, sf).select("record_id", "title", "creator", "source_year").withColumn("k", F.split(link_form(F.col("title")), " "))
-    w = table(spark, sf, "candidate_works").dropDuplicates(["work_id"]).select("work_id", "candidate_title", "candidate_authors", "candidate_year").withColumn("k", F.split(link_form(F.col("candidate_title")), " "))
-    ends = lambda d: d.withColumn("x", F.col("k")[0]).withColumn("y", F.element_at("k", -1)).drop("k")
-    return L.best_candidate(ends(p).join(ends(w), ["x", "y"]).drop("x", "y"), "record_id", "title", "creator", "source_year", "candidate_title", "candidate_authors", "candidate_year", "work_id").select("record_id", "work_id", "score")
+    """Title ratio, author and year scored for each record and all works that share a title word, typed alike or nearly so."""
+    p = _logged(spark, sf).select("record_id", "title", "creator", "source_year")
+    w = table(spark, sf, "candidate_works").dropDuplicates(["work_id"]).select("work_id", "candidate_title", "candidate_authors", "candidate_year")
+    words = lambda d, key, title, name: d.select(key, F.explode(F.array_distinct(F.split(link_form(F.col(title)), " "))).alias(name)).where(F.col(name) != "")
+    ids = L.sharing_words(words(p, "record_id", "title", "a"), words(w, "work_id", "candidate_title", "b"), "record_id", "work_id")
+    pairs = ids.join(p, "record_id").join(w, "work_id")
+    return L.best_candidate(pairs, "record_id", "title", "creator", "source_year", "candidate_title", "candidate_authors", "candidate_year", "work_id").select("record_id", "work_id", "score")
 
 
 _COMPAT = "CASE source_type " + " ".join(f"WHEN '{k}' THEN t IN ({', '.join(repr(x) for x in v)})" for k, v in L.COMPATIBLE.items()) + " ELSE false END"

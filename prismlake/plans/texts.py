@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
+from ..operators import linkage as L
 from ..operators import textstats as S
 from ..session import cut
 from ..tables import table
@@ -86,6 +87,12 @@ def token_edits(spark, sf):
     return a.join(b, "p").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)).where(T.one_edit("a", "b")).select("a", "b")
 
 
+def token_edits_all(spark, sf):
+    """Title words one edit or swap apart wherever it is; token_edits keeps to equal first two letters, as its SQL does."""
+    w = table(spark, sf, "search_rows").select(F.explode(S.word_list(F.col("title"), 5)).alias("a")).distinct()
+    return L.near_words(w, w.withColumnRenamed("a", "b")).where("a < b")
+
+
 def phrase_rows(spark, sf):
     s = table(spark, sf, "search_rows").select("paper_idx", F.lower("title").alias("t")).distinct()
     return s.where(T.contains_phrase(F.col("t"), F.lit("moral luck"))).select("paper_idx")
@@ -222,7 +229,7 @@ pp AS (SELECT pr.*, coalesce(both_n, 0) AS both_n, dx.df AS dx, dy.df AS dy, n F
 _LIN = lambda at: f"(CASE WHEN c{at} <= 0.04045 THEN c{at} / 12.92::DOUBLE ELSE pow((c{at} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END)"
 
 QUERIES = {f.__name__: f for f in (
-    clean_text, clean_text_plain, clean_date, key_extraction, default_records, document_texts, year_period_buckets, type_codes, config_keys, dedupe_keep_longest, record_chunks, singular_forms, token_edits,
+    clean_text, clean_text_plain, clean_date, key_extraction, default_records, document_texts, year_period_buckets, type_codes, config_keys, dedupe_keep_longest, record_chunks, singular_forms, token_edits, token_edits_all,
     phrase_rows, surnames, search_forms, colour_contrast, neighbour_counts, json_fields, tokens_inverted_index, vocabulary_bounds, tfidf_weights, tfidf_train_only, tfidf_terms_by_class, npmi_smoothed, npmi_strict,
     topic_diversity, term_exclusivity, topic_distribution, ordered_string_agg,
 )}

@@ -46,3 +46,15 @@ def test_author_before_title(spark, query, author):
 def test_empty(spark):
     p = S.prepare(spark.createDataFrame([], "k long, t string, a string"), "k", "t", "a")
     assert S.search(p, S.index(p), "anything").collect() == []
+
+
+def test_near_words_and_shared_words(spark):
+    from prismlake.operators import linkage as L
+
+    words = ["cognitive", "kognitive", "defesa", "difesa", "ocgnitive", "cognitve", "theory", "of"]
+    w = spark.createDataFrame([(x,) for x in words], "a string")
+    got = {(r["a"], r["b"]) for r in L.near_words(w, w.withColumnRenamed("a", "b")).where("a < b").collect()}
+    assert got == {("cognitive", "kognitive"), ("cognitive", "ocgnitive"), ("cognitive", "cognitve"), ("defesa", "difesa")}
+    left = spark.createDataFrame([(1, "emotivsm"), (2, "of"), (2, "moral")], "r int, a string")
+    right = spark.createDataFrame([("x", "emotivism"), ("y", "moral"), ("z", "or")], "w string, b string")
+    assert {tuple(r) for r in L.sharing_words(left, right, "r", "w").collect()} == {(1, "x"), (2, "y")}
