@@ -89,3 +89,33 @@ def test_titles(a, b, want):
 def test_confidence_is_smoothed(spark, sf):
     rows = M.p3_matches(spark, sf).select("rule", "confidence").distinct().collect()
     assert rows and all(0 < r["confidence"] < 1 for r in rows)
+
+
+@pytest.mark.parametrize("a, b", [("moral luck again", "moral lukc again"), ("the moral luck again", "moral luck again"), ("on moral luck and its many uses", "on moral luck and many uses"), ("vari ous uses of logic", "various uses of logic"), ("a b c d e f g h i", "a b c d e f x h i")])
+def test_titles_one_word_apart_share_a_piece(a, b):
+    assert M.pieces(a.split()) & M.pieces(b.split())
+
+
+def test_main_titles():
+    main = lambda a, b: M.main_relation(*(M.title_words(t)[0] for t in (a, b)), *(M.title_words(t)[1] for t in (a, b)))
+    assert main("On Moral Luck: Three Questions and a Reply", "On moral luck") and main("Luck – A Short Story: An Essay", "Luck: A short story")
+    assert not main("On Moral Luck", "On Moral Luck: Part II") and not main("On Moral Luck: A", "On Moral Luck: A (II)") and not main("Luck: An Essay", "Luck")
+
+
+def test_hot_key_is_split(frame):
+    """A key that all rows share loses no pair and adds none, nor does a key beside it."""
+    from prismlake.llm.hot import hot_buckets, split_join
+
+    left = frame([(7, i) for i in range(60)] + [(8, 100)], "key long, a long")
+    right = frame([(7, i) for i in range(90)] + [(8, 1), (9, 2)], "key long, b long")
+    assert hot_buckets(left, right, 10, 1 << 16).collect()
+    got = [tuple(r) for r in split_join(left, right, "a", "b", cell=10).collect()]
+    assert len(got) == len(set(got)) == 60 * 90 + 1 and (100, 1) in got
+
+
+def test_one_work_for_many_records_of_a_hot_title(frame):
+    own = [f"{a}{b}{c}sada" for a in "bdfgk" for b in ("ra", "lou", "ni", "me") for c in ("vor", "tik", "zan")]
+    r = frame([(i, "Editorial", f"{x}, Jane", 2000) for i, x in enumerate(own)], "record_id long, title string, creator string, year int")
+    w = frame([(i, "Editorial", f"Jane {x}", 2000, "Crossref") for i, x in enumerate(own)], "work_id long, title string, people string, year int, provider string")
+    got = M.cascade(r, w).collect()
+    assert {(x["record_id"], x["work_id"]) for x in got} == {(i, i) for i in range(len(own))}
