@@ -18,8 +18,10 @@ ROWS = [(f"P{i}", "1999" if i % 3 else "n.d.", 1 + i % 4) for i in range(3000)]
 SCHEMA = "paper_id string, pub_date string, snapshot_no int"
 
 
-def drawn(df):
-    return {r["key"]: r["drawn_snapshot"] for r in S.draw(df, "paper_id", S.period(F.col("pub_date")), "snapshot_no").collect()}
+def drawn(df, rates=None, default=S.DEFAULT_RATE):
+    found = S.deliveries(df, "paper_id", S.period(F.col("pub_date")), "snapshot_no")
+    limits = S.raised(None, S.rates_table(df.sparkSession, S.RATES if rates is None else rates))
+    return {r["key"]: r["drawn_snapshot"] for r in S.draw(found, limits, default).collect()}
 
 
 def test_sample_stays(frame):
@@ -38,9 +40,34 @@ def test_sample_redelivery(frame):
     assert drawn(frame(ROWS + [(p, d, s + 3) for p, d, s in ROWS[:900]], SCHEMA)) == drawn(frame(ROWS, SCHEMA))
 
 
+def test_sample_late_delivery(frame):
+    """Late rows of an old snapshot, in the same stratum or another, drop nobody and don't lift anybody else."""
+    before = drawn(frame(ROWS, SCHEMA))
+    late = [(f"P{i}", "1985" if i % 2 else "2015", 1) for i in range(0, 3000, 7)] + [(f"late{i}", "1999", 1) for i in range(3000)]
+    after = drawn(frame(ROWS + late, SCHEMA))
+    assert before.keys() <= after.keys()
+    touched = {p for p, _, _ in late}
+    assert after.keys() - before.keys() <= touched
+
+
+def test_sample_rates_hold_at_any_size(frame):
+    for n in (200, 3000, 30000):
+        got = drawn(frame([(f"K{i}", "1999", 1) for i in range(n)], SCHEMA), {"1980-1999": 0.2})
+        assert abs(len(got) / n - 0.2) < 4 * (0.2 * 0.8 / n) ** 0.5
+    assert len(drawn(frame(ROWS, SCHEMA), {}, 1.0)) == len(ROWS) and drawn(frame(ROWS, SCHEMA), {"undated": 0.0, "1980-1999": None or 0.0}) == {}
+
+
+def test_thresholds_are_kept_and_only_rise(spark, tmp_path):
+    path = f"file://{tmp_path}/thresholds"
+    S.Thresholds(spark, path).raise_to(S.rates_table(spark, {"a": 0.1, "b": 0.5}))
+    S.Thresholds(spark, path).raise_to(S.rates_table(spark, {"a": 0.3, "b": 0.2, "c": 0.7}))
+    store = S.Thresholds(spark, path)
+    assert store.version() == 2 and {tuple(r) for r in store.read().collect()} == {("a", 0.3), ("b", 0.5), ("c", 0.7)}
+
+
 def test_sample_empty(frame):
     assert drawn(frame([], SCHEMA)) == {}
-    assert len(drawn(frame([("A", None, None)], SCHEMA))) == 1  # a stratum below the floor is drawn whole
+    assert set(drawn(frame([("A", None, None)], SCHEMA), {"undated": 1.0}).items()) == {("A", 0)}
 
 
 def test_terms(spark, frame, tmp_path):
