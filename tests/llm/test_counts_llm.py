@@ -70,19 +70,43 @@ def test_sample_empty(frame):
     assert set(drawn(frame([("A", None, None)], SCHEMA), {"undated": 1.0}).items()) == {("A", 0)}
 
 
+VERSIONS = [
+    [(1, "a b b"), (2, "b c"), (3, None), (5, "")],
+    [(2, "c c d"), (1, "a b b"), (4, "É é x2y"), (6, "b " * 3000)],  # 2 changed, 1 came again, 4 and 6 are new
+    [(3, "late"), (4, None), (99, None)],  # 4 is deleted, 99 never was there
+    [],
+]
+
+
 def test_terms(spark, frame, tmp_path):
-    old = frame([(1, "a b b"), (2, "b c"), (3, None)], "key long, text string")
-    new = frame([(1, "a b b"), (2, "c c d"), (4, "É é x2y")], "key long, text string")
-    counts = C.merge_counts(C.term_deltas(C.signed_changes(None, old)), C.term_deltas(C.signed_changes(old, new)))
-    want = C.term_deltas(C.signed_changes(None, new))
+    """Each version through a new store over the same folder gives the counts of a recount."""
+    path, schema = f"file://{tmp_path}/counts", "key long, text string"
     plain = lambda d: sorted(map(tuple, d.select("term", "uses", "records").collect()))
-    assert plain(counts) == plain(want) == [("a", 1, 1), ("b", 2, 1), ("c", 2, 1), ("d", 1, 1), ("x", 1, 1), ("y", 1, 1), ("é", 2, 1)]
-    store = C.CountStore(spark, f"file://{tmp_path}/counts", 4)
-    store.merge(C.term_deltas(C.signed_changes(None, old)))
-    assert plain(store.merge(C.term_deltas(C.signed_changes(old, new)))) == plain(want)
-    assert plain(store.merge(C.term_deltas(C.signed_changes(new, new)))) == plain(want)
-    marks = {r["term"]: r["mark"] for r in C.mark(counts, 3, 2, 0.5).collect()}
-    assert marks["a"] == "rare"
+    state: dict = {}
+    for k, rows in enumerate(VERSIONS, 1):
+        former = frame(list(state.items()), schema)
+        got = C.CountStore(spark, path, 4).apply(frame(rows, schema), former if k > 1 else None)
+        state |= dict(rows)
+        state = {a: b for a, b in state.items() if b is not None}
+        want = C.term_deltas(C.signed_changes(None, frame(list(state.items()), schema)))
+        assert plain(got) == plain(want)
+        store = C.CountStore(spark, path, 999)
+        assert (store.version, store.buckets) == (k, 4) and plain(store.counts()) == plain(want)
+        assert sorted(r["key"] for r in store.digests().collect()) == sorted(state)
+    store.vacuum()
+    assert plain(C.CountStore(spark, path).counts()) == plain(want)
+    with pytest.raises(ValueError):
+        store.apply(frame([(1, "other")], schema))
+    marks = {r["term"]: r["mark"] for r in C.mark(store.counts(), 3, 2, 0.5).collect()}
+    assert marks["a"] == "rare" and marks["b"] == "common"
+
+
+def test_untouched_buckets_stay(spark, frame, tmp_path):
+    store = C.CountStore(spark, f"file://{tmp_path}/counts", 16)
+    store.apply(frame([(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(200)], "key long, text string"))
+    store.apply(frame([(1000, "wordaa")], "key long, text string"))
+    assert [v for (k, _), v in store.places.items() if k == "terms"].count(2) == 1
+    assert [v for (k, _), v in store.places.items() if k == "digests"].count(2) == 1
 
 
 def test_terms_from_tables(spark, tmp_path):
