@@ -6,8 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Names of the bands of a mean Jaccard, from below 0.60 on.
+STABILITY = ["below_0.60", "0.60_to_0.75", "0.75_to_0.85", "at_least_0.85"]
+
+
 def stability_band(j: Column) -> Column:
-    return F.when(j < 0.60, "unstable").when(j < 0.75, "moderate").when(j < 0.85, "stable").when(j >= 0.85, "very stable")
+    return F.when(j < 0.60, STABILITY[0]).when(j < 0.75, STABILITY[1]).when(j < 0.85, STABILITY[2]).when(j >= 0.85, STABILITY[3])
 
 
 def granularity_band(k: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import granularity_band
+from ..operators import colours as K
 from ..operators import models as M
+from ..operators import naming as N
 from ..operators import partition as P
 from ..operators import textstats as S
 from ..operators import vectors as V
@@ -43,9 +45,10 @@ def model_lda(spark, sf):
     vocab = [r["term"] for r in S.bounded(tf, docs.count(), 5, 0.5, 2000).orderBy("term").collect()]
     model, feats = M.lda(tf, vocab, {"topics": 8, "alpha": 0.125, "eta": 0.125}, 3, 5)
     n = M.dominant(model, feats).groupBy("topic").agg(F.count("*").alias("documents"))
-    terms = M.topic_terms(model, vocab, 10).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda s: s["term"]).alias("t"))
-    name = F.udf(M.topic_label, "string")
-    return n.join(terms, "topic").select("topic", "documents", F.concat_ws("; ", "t").alias("terms"), name("t").alias("label"))
+    terms = M.topic_terms(model, vocab, 10).select(F.col("topic").alias("group"), "place", "term")
+    listed = terms.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda s: s["term"]).alias("t"))
+    named = listed.join(N.topic_names(terms), "group").withColumnRenamed("group", "topic")
+    return n.join(named, "topic").select("topic", "documents", F.concat_ws("; ", "t").alias("terms"), F.col("name").alias("label"))
 
 
 def lda_configurations(spark, sf):
@@ -70,14 +73,15 @@ def colour_families(spark, sf):
     """Colours of two clusterings' categories: strong overlaps share one."""
     e = _e(spark, sf).select(F.col("label").alias("a"), F.when(F.col("vec_id") % 13 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("b"))
     c = e.groupBy("a", "b").agg(F.count("*").alias("observed"))
-    edges = P.overlap_edges(c, 0.70).toPandas()
-    nodes = {("l", int(i)) for i in range(10)} | {("r", int(i)) for i in range(10)}
     import pandas as pd
 
-    comp = P.components_small(pd.DataFrame([(("l", int(a)), ("r", int(b))) for a, b in edges[["a", "b"]].itertuples(index=False)], columns=["x", "y"]))
-    family = {n: comp.get(n, n) for n in nodes}
-    colours = M.family_colours(family, {n: 1 for n in nodes}, M.palette("#101418", 3.0))
-    return spark.createDataFrame(sorted((l, i, colours[family[(l, i)]]) for l, i in nodes), "lens_id string, label int, colour string")
+    edges = P.overlap_edges(c, 0.70).toPandas()
+    comp = P.components_small(pd.DataFrame([(f"l{a}", f"r{b}") for a, b in edges[["a", "b"]].itertuples(index=False)], columns=["x", "y"]))
+    sizes = c.groupBy(F.lit("l").alias("lens"), F.col("a").alias("label")).agg(F.sum("observed").alias("size")).unionAll(c.groupBy(F.lit("r").alias("lens"), F.col("b").alias("label")).agg(F.sum("observed").alias("size")))
+    nodes = sizes.toPandas()  # categories of two lenses
+    nodes["family"] = [comp.get(f"{l}{i}", f"{l}{i}") for l, i in zip(nodes["lens"], nodes["label"])]
+    colours = K.assign(nodes, K.pool(spark, "#101418", 3.0).toPandas())
+    return spark.createDataFrame([(l, int(i), colours[f]) for l, i, f in nodes[["lens", "label", "family"]].itertuples(index=False)], "lens_id string, label int, colour string")
 
 
 def topic_stability(spark, sf):

@@ -177,7 +177,7 @@ SELECT (SELECT count(*) FROM e) AS papers, (SELECT count(*) FROM k) AS cluster_c
     "run_summary": _R + """SELECT dimension, quantile_cont(clusters, 0.5) AS clusters_median, min(clusters) AS clusters_min, max(clusters) AS clusters_max, round(avg(ari), 6) AS ari_mean, round(quantile_cont(ari, 0.5), 6) AS ari_median,
  round(min(ari), 6) AS ari_min, round(quantile_cont(noise_pct, 0.1), 6) AS noise_q10, round(quantile_cont(noise_pct, 0.9), 6) AS noise_q90 FROM r GROUP BY 1""",
     "percentile_interval": _R + "SELECT dimension, round(quantile_cont(ari, 0.025), 6) AS low, round(quantile_cont(ari, 0.975), 6) AS high FROM r GROUP BY 1",
-    "stability_bands": _R + "SELECT dimension, run, CASE WHEN ari * 1.5::DOUBLE < 0.60 THEN 'unstable' WHEN ari * 1.5::DOUBLE < 0.75 THEN 'moderate' WHEN ari * 1.5::DOUBLE < 0.85 THEN 'stable' ELSE 'very stable' END AS band FROM r",
+    "stability_bands": _R + "SELECT dimension, run, CASE WHEN ari * 1.5::DOUBLE < 0.60 THEN 'below_0.60' WHEN ari * 1.5::DOUBLE < 0.75 THEN '0.60_to_0.75' WHEN ari * 1.5::DOUBLE < 0.85 THEN '0.75_to_0.85' ELSE 'at_least_0.85' END AS band FROM r",
     "resampling_summary": _R + "SELECT dimension, count(*) FILTER (clusters % 9 < 5) AS collapsed, round(avg(ari), 6) AS ari_mean, round(avg(ari) FILTER (clusters % 9 >= 5), 6) AS ari_kept, round(quantile_cont(ari, 0.1), 6) AS ari_q10 FROM r GROUP BY 1",
     "run_pairs": _R + "SELECT * FROM p",
     "medoid_run": _R + "SELECT run, round(m, 6) AS mean_ari FROM (SELECT run, avg(ari) AS m FROM (SELECT left_run AS run, ari FROM p UNION ALL SELECT right_run, ari FROM p) GROUP BY 1) ORDER BY m DESC, run LIMIT 1",

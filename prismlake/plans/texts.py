@@ -41,7 +41,7 @@ def default_records(spark, sf):
     """Papers with metadata where there is any: title falls back to the id, url to the canonical one."""
     s = table(spark, sf, "search_rows").groupBy("paper_idx", "paper_id").agg(F.max("title").alias("st"))
     p = papers(spark, sf).select("paper_id", F.col("title").alias("pt"), F.col("url").alias("pu"))
-    return s.join(p, "paper_id", "left").select("paper_idx", F.coalesce(F.nullif("pt", F.lit("")), "paper_id").alias("title"), F.coalesce(F.nullif("pu", F.lit("")), F.concat(F.lit("https://papers.atlas.invalid/rec/"), "paper_id")).alias("url"))
+    return s.join(p, "paper_id", "left").select("paper_idx", F.coalesce(F.nullif("pt", F.lit("")), "paper_id").alias("title"), F.coalesce(F.nullif("pu", F.lit("")), F.concat(F.lit("https://papers.example.invalid/rec/"), "paper_id")).alias("url"))
 
 
 def document_texts(spark, sf):
@@ -237,7 +237,7 @@ SQL = {
     "clean_text_plain": r"SELECT row_no, regexp_replace(regexp_replace(regexp_replace(coalesce(title, ''), '<[^>]+>', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'), '^ | $', '', 'g') AS cleaned FROM paper_metadata WHERE coalesce(title, '') NOT LIKE '%&%'",
     "clean_date": r"SELECT row_no, CASE WHEN regexp_full_match(trim(coalesce(pub_date, '')), '\d{4}\.0') THEN substr(trim(pub_date), 1, 4) ELSE substr(trim(coalesce(pub_date, '')), 1, 80) END AS cleaned FROM paper_metadata",
     "key_extraction": "SELECT row_no, string_split(url, '/')[-1] AS segment, regexp_extract('/texts/' || paper_id || '.txt', '([^/]+?)(\\.[^./]*)?$', 1) AS stem FROM paper_metadata WHERE url <> '' AND paper_id <> ''",
-    "default_records": f"WITH {PAPERS_CTE} SELECT paper_idx, coalesce(nullif(p.title, ''), s.paper_id) AS title, coalesce(nullif(p.url, ''), 'https://papers.atlas.invalid/rec/' || s.paper_id) AS url FROM (SELECT DISTINCT paper_idx, paper_id FROM search_rows) s LEFT JOIN papers p USING (paper_id)",
+    "default_records": f"WITH {PAPERS_CTE} SELECT paper_idx, coalesce(nullif(p.title, ''), s.paper_id) AS title, coalesce(nullif(p.url, ''), 'https://papers.example.invalid/rec/' || s.paper_id) AS url FROM (SELECT DISTINCT paper_idx, paper_id FROM search_rows) s LEFT JOIN papers p USING (paper_id)",
     "document_texts": f"WITH {PAPERS_CTE}, x AS (SELECT paper_id, coalesce(title, '') AS t, coalesce(description, '') AS a FROM papers) SELECT paper_id, md5(t || '. ' || t || '. ' || a) AS doubled, md5(t || '[SEP]' || a) AS separator, md5(t || '. ' || a) AS sentence FROM x",
     "year_period_buckets": f"SELECT row_no, yr AS year, {PERIOD_SQL} AS period FROM (SELECT *, {YEAR_SQL.format('pub_date')} AS yr FROM paper_metadata)",
     "type_codes": f"SELECT pub_type, {TYPE_SQL} AS code, count(*) AS n FROM paper_metadata GROUP BY ALL",

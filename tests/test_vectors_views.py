@@ -26,8 +26,11 @@ def vectors(spark, n=40, d=6, seed=0):
 
 
 def test_without_self(spark):
-    rows = spark.createDataFrame([(0, [2, 0, 1, 3]), (1, [1, 0, 2, 3])], "q int, n array<int>")
-    assert [r[0] for r in rows.select(V.without_self(F.col("n"), F.col("q"), 3)).collect()] == [[2, 1, 3], [0, 2, 3]]
+    rng = np.random.default_rng(7)
+    lists = [(q, rng.permutation(9).tolist()) for q in range(9)]
+    rows = spark.createDataFrame(lists, "q int, n array<int>")
+    got = {r[0]: r[1] for r in rows.select("q", V.without_self(F.col("n"), F.col("q"), 5)).collect()}
+    assert got == {q: [x for x in n if x != q][:5] for q, n in lists}
     with pytest.raises(Exception):
         spark.createDataFrame([(0, [0, 1, 1])], "q int, n array<int>").select(V.without_self(F.col("n"), F.col("q"), 2)).collect()
 
