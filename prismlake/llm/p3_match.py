@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from ..tables import table
 from . import names
-from .hot import split_join
+from .hot import hot_buckets, split_join
 
 MAX_YEARS = 2
 PRIOR, PRIOR_WEIGHT = 0.8, 5.0
@@ -42,7 +42,7 @@ ACCEPTED = 0.9
 #: Words of a title that make another publication of it.
 PARTS = {"i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "part", "teil", "erratum", "corrigendum", "correction", "review", "reply", "comments", "response", "critical", "notice", "errata", "addendum"}
 FREE = {"a", "an", "the", "of", "and", "article"}
-KEYED = "tkey string, mains array<int>, who array<string>, pieces array<long>, ends array<long>"
+KEYED = "tkey string, mains array<int>, who array<string>, pieces array<long>, tops array<string>"
 #: Attributes to join on, from what keyed() gives, and whether they give a key per member.
 ATTRIBUTES = {
     "title": ("tkey", False),
@@ -50,7 +50,8 @@ ATTRIBUTES = {
     "piece": ("pieces", True),
     "main title": ("array_distinct(concat(array(tkey), transform(mains, n -> array_join(slice(split(tkey, ' '), 1, n), ' '))))", True),
     "author word": ("filter(array_distinct(split(array_join(who, ' '), ' ')), x -> x <> '')", True),
-    "end of a word": ("ends", True),
+    "heaviest word": ("tops", True),
+    "end of a word": ("array_distinct(flatten(transform(tops, x -> array(concat(left(x, 3), '-'), concat('-', right(x, 3))))))", True),
     "all author words": ("array_distinct(transform(who, x -> array_join(array_sort(split(x, ' ')), ' ')))", True),
     "long word": ("transform(slice(reverse(array_sort(transform(array_distinct(split(tkey, ' ')), x -> struct(length(x) AS n, x AS x)))), 1, 3), s -> s.x)", True),
 }
@@ -90,7 +91,7 @@ def name_weight():
 
 def keyed(rows: DataFrame, key: str, people: str) -> DataFrame:
     """rows (key, title, people, ...) without title, with tkey (the title's words), mains (words before a subtitle), who (the full words of
-    each name), pieces and ends (both ends of each name's heaviest word); one row per key, the smallest, and none without words in the title.
+    each name), pieces and tops (each name's heaviest word); one row per key, the smallest, and none without words in the title.
     They lie in hash partitions of the key, so later joins on the key move the other side only."""
     keep = [c for c in rows.columns if c != "title"]
 
@@ -100,16 +101,15 @@ def keyed(rows: DataFrame, key: str, people: str) -> DataFrame:
         weight = name_weight()
         number = lambda x: xxhash.xxh64_intdigest(x) - (1 << 63)
         for pdf in batches:
-            out: dict[str, list] = {"tkey": [], "mains": [], "who": [], "pieces": [], "ends": []}
+            out: dict[str, list] = {"tkey": [], "mains": [], "who": [], "pieces": [], "tops": []}
             for t, p in zip(pdf["title"], pdf[people]):
                 w, mains = title_words(t or "")
                 who = [x for x in (names.parse(part)[1] for part in (p or "").split(";")) if x]
-                tops = {max(x, key=lambda y: (weight(y), y)) for x in who}
                 out["tkey"].append(" ".join(w))
                 out["mains"].append(mains)
                 out["who"].append([" ".join(x) for x in who])
                 out["pieces"].append(sorted(map(number, pieces(w))))
-                out["ends"].append(sorted(map(number, {x[:2] + "-" for x in tops} | {"-" + x[-2:] for x in tops})))
+                out["tops"].append(sorted({max(x, key=lambda y: (weight(y), y)) for x in who}))
             yield pdf[keep].assign(**out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
@@ -209,10 +209,10 @@ RULES = [
     ("title, author word, year", ["title", "author word", "year"], None, f"title_rel = 3 AND {AUTHOR} AND years = 0"),
     ("title, author word", ["title", "author word"], None, f"title_rel = 3 AND {AUTHOR} AND {NEAR_YEAR}"),
     ("title, year", ["title", "year"], None, f"title_rel = 3 AND years = 0 AND ({AUTHOR} OR author_rel = -1)"),
-    ("piece of the title, author word", ["piece", "author word"], None, f"title_rel > 0 AND {AUTHOR} AND {NEAR_YEAR}"),
+    ("piece of the title, heaviest author word", ["piece", "heaviest word"], None, f"title_rel > 0 AND {AUTHOR} AND {NEAR_YEAR}"),
     ("piece of the title, year, no authors", ["piece", "year"], "size(who) = 0", "title_rel >= 2 AND author_rel = -1 AND years = 0"),
     ("main title, author word", ["main title", "author word"], None, f"main_rel = 1 AND {AUTHOR} AND {NEAR_YEAR}"),
-    ("piece of the title, end of an author word", ["piece", "end of a word"], None, f"title_rel > 0 AND {AUTHOR} AND {NEAR_YEAR}"),
+    ("piece of the title, end of the heaviest author word", ["piece", "end of a word"], None, f"title_rel > 0 AND {AUTHOR} AND {NEAR_YEAR}"),
     ("all author words, a long title word", ["all author words", "long word"], None, f"title_rel > 0 AND {AUTHOR} AND {NEAR_YEAR}"),
 ]
 
@@ -238,19 +238,22 @@ def cascade(records: DataFrame, works: DataFrame, rules=RULES) -> DataFrame:
     providers = w.select("provider").distinct().count()
     texts = r.select("record_id", F.col("tkey").alias("rt"), F.col("mains").alias("rm"), "creator")
     others = w.select("work_id", F.col("tkey").alias("wt"), F.col("mains").alias("wm"), "people", "provider")
-    found, left = spark.createDataFrame([], "record_id long, work_id long, provider string, rule int"), r
+    sides = []
+    for _, attributes, only, _ in rules:
+        sides.append((_keys(r, attributes), _keys(w.where(only) if only else w, attributes)))
+    hot = hot_buckets(sides)
+    found = spark.createDataFrame([], "record_id long, work_id long, provider string, rule int")
     for n, (_, attributes, only, condition) in enumerate(rules):
-        a = _keys(left, attributes, "record_id", "year AS ry")
-        b = _keys(w.where(only) if only else w, attributes, "work_id", "year AS wy")
-        pairs = split_join(a, b, "record_id", "work_id").withColumn("years", F.abs(F.col("ry") - F.col("wy"))).where(NEAR_YEAR)
-        pairs = pairs.select("record_id", "work_id", "years").distinct().join(others, "work_id").join(texts, "record_id")
-        if n:
-            pairs = pairs.join(found.select("record_id", "provider"), ["record_id", "provider"], "left_anti")
+        done = found.groupBy("record_id").agg(F.collect_list("provider").alias("done"))  # a record has one row a provider
+        left = r.join(done, "record_id", "left").where(F.coalesce(F.size("done"), F.lit(0)) < providers) if n else r.withColumn("done", F.array().cast("array<string>"))
+        a = _keys(left, attributes, "record_id", "year AS ry", "done")
+        b = _keys(w.where(only) if only else w, attributes, "work_id", "year AS wy", "provider")
+        pairs = split_join(a, b, "record_id", "work_id", hot[n]).withColumn("years", F.abs(F.col("ry") - F.col("wy")))
+        pairs = pairs.where(NEAR_YEAR).where("done IS NULL OR NOT array_contains(done, provider)").select("record_id", "work_id", "years")
+        pairs = pairs.repartition("record_id").distinct().join(texts, "record_id").join(others, "work_id")
         best = Window.partitionBy("record_id", "provider").orderBy(F.coalesce("years", F.lit(9)), F.desc("author_rel"), F.desc("author_words"), F.desc("title_rel"), "work_id")
         hits = judged(pairs).where(condition).withColumn("place", F.row_number().over(best))
         found = cut(found.unionByName(hits.where("place = 1").select("record_id", "work_id", "provider", F.lit(n).alias("rule"))))
-        whole = found.groupBy("record_id").agg(F.count("*").alias("n")).where(F.col("n") >= providers)
-        left = r.join(whole, "record_id", "left_anti")
     return found
 
 

@@ -108,9 +108,11 @@ def test_hot_key_is_split(frame):
 
     left = frame([(7, i) for i in range(60)] + [(8, 100)], "key long, a long")
     right = frame([(7, i) for i in range(90)] + [(8, 1), (9, 2)], "key long, b long")
-    assert hot_buckets(left, right, 10, 1 << 16).collect()
-    got = [tuple(r) for r in split_join(left, right, "a", "b", cell=10).collect()]
-    assert len(got) == len(set(got)) == 60 * 90 + 1 and (100, 1) in got
+    hot, none = hot_buckets([(left, right), (left.where("key = 8"), right)], 10)
+    assert hot.count() == 1 and none.count() == 1  # one side is enough
+    for h in (hot, hot_buckets([(left, right)])[0]):
+        got = [tuple(r) for r in split_join(left, right, "a", "b", h).collect()]
+        assert len(got) == len(set(got)) == 60 * 90 + 1 and (100, 1) in got
 
 
 def test_one_work_for_many_records_of_a_hot_title(frame):
