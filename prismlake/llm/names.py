@@ -11,7 +11,7 @@ PLAIN = {"ø": "o", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ß": "ss", "
 TITLES = {"dr", "prof", "professor", "rev", "sir", "mr", "mrs", "ms", "phd", "md", "ed", "eds", "hrsg", "editor", "author", "jr", "sr", "dphil"}
 PARTICLES = {"de", "la", "le", "du", "des", "del", "della", "di", "da", "dos", "das", "do", "von", "van", "der", "den", "ten", "ter", "zu", "zum", "zur", "af", "al", "el", "y"}
 ORG_WORDS = {"board", "bd", "university", "univ", "universiteit", "institute", "inst", "centre", "center", "society", "soc", "soci", "laboratory", "lab", "labo", "department", "dept", "committee", "association", "assoc", "academy", "college", "group", "school", "faculty", "council", "foundation", "journal", "review", "press", "collective", "network", "project", "editors", "staff"}
-FILLERS = {"of", "for", "the", "and", "in", "at", "on", "university", "univ", "u", "a", "an"}
+FILLERS = {"of", "for", "the", "and", "in", "at", "on", "de", "von", "der", "u", "a", "an", "university", "univ", "universiteit", "universitat", "universite", "universidad", "universidade", "universita"}
 #: Short forms of given names, one line per given name.
 NICKNAMES = """
 abigail abby; albert al bert; alexander alex sandy alec; alexandra alex sandra; alfred alf fred; alice allie; amanda mandy; andrew andy drew; angela angie
@@ -127,15 +127,28 @@ def align(a: list[str], b: list[str]) -> tuple[list[tuple[int, int, float]], lis
 
 #: What the comparisons say: not the same; one side lacks a middle part; a given name stands as an initial; the same.
 NO, MISSING, INITIAL, STRONG = 0, 1, 2, 3
+#: Soft weighted similarity that names of people and of organisations, and names of which only one was taken as an
+#: organisation's, must reach.
+PEOPLE, ORGANISATIONS, UNSURE = 0.7, 0.75, 0.9
+#: Weight of an initial, and how much of a word it stands for counts as found.
+INITIAL_WEIGHT, INITIAL_SHARE = 1.0, 0.6
+
+
+def similarity(wa: list[float], wb: list[float], pairs: list[tuple[int, int, float]], more: float = 0.0, parts: float = 0.0) -> float:
+    """Soft weighted similarity: the weights of aligned words, each pair's times its likeness, as a share of all weights;
+    `more` of `parts` further weight was found. Rare words weigh most."""
+    total = sum(wa) + sum(wb) + parts
+    return (sum((wa[i] + wb[j]) * s for i, j, s in pairs) + more) / total if total else 0.0
 
 
 def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str], ib: list[str], wb: list[float]) -> tuple[int, int]:
     """(kind, side): side is -1 if a is the shorter spelling, 1 if b is, 0 if neither, 2 if each is shorter in a way.
 
-    STRONG: every part of one has its counterpart in the other, the heaviest (rarest) word as a word and at least one
-    more part as a word. INITIAL: every part has one, but all given names only as initials. MISSING: one side lacks
-    one part. If no given name agrees as a word, an initial must stand for the first of the other side's given names.
-    Words and their weights are in the order of the name.
+    The soft weighted similarity of words and initials must reach PEOPLE, and parts must not contradict each other: the
+    rarest word of either has its counterpart as a word, not both have parts left, and if no given name agrees as a word
+    an initial must stand for the first of the other side's given names. STRONG: every part has its counterpart, at
+    least one more as a word. INITIAL: every part has one, but all given names only as initials. MISSING: one side lacks
+    one part. Words and their weights are in the order of the name.
     """
     if not fa or not fb:
         return NO, 0
@@ -148,35 +161,34 @@ def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str],
         return NO, 0
     first_a = min((i for i in ra if fa[i][0] in ib), default=-1)
     first_b = min((j for j in rb if fb[j][0] in ia), default=-1)
-    rest_a, rest_b, short_a, short_b = list(ia), list(ib), 0, 0
+    rest_a, rest_b, short_a, short_b, more = list(ia), list(ib), 0, 0, 0.0
     for i in list(ra):  # a word against an initial
         if fa[i][0] in rest_b:
             rest_b.remove(fa[i][0])
             ra.remove(i)
             short_b += 1
+            more += INITIAL_SHARE * (wa[i] + INITIAL_WEIGHT)
     for j in list(rb):
         if fb[j][0] in rest_a:
             rest_a.remove(fb[j][0])
             rb.remove(j)
             short_a += 1
+            more += INITIAL_SHARE * (wb[j] + INITIAL_WEIGHT)
     common = 0
     for x in list(rest_a):
         if x in rest_b:
             rest_a.remove(x)
             rest_b.remove(x)
             common += 1
+            more += 2 * INITIAL_WEIGHT
     left_a, left_b = len(ra) + len(rest_a), len(rb) + len(rest_b)
-    if left_a and left_b:
+    if left_a and left_b or similarity(wa, wb, pairs, more, INITIAL_WEIGHT * (len(ia) + len(ib))) < PEOPLE:
         return NO, 0
     extra = left_a + left_b
     given_words = len(pairs) - 1
     side = (short_a < short_b) - (short_a > short_b)
-    if not extra and (given_words >= 1 or not short_a and not short_b):
-        total = sum(wa) + sum(wb)
-        score = sum((wa[i] + wb[j]) * s for i, j, s in pairs) / total if total else 1.0
-        return (STRONG if score >= 0.5 else INITIAL), side
     if not extra:
-        return INITIAL, side
+        return (STRONG if given_words >= 1 or not short_a and not short_b else INITIAL), side
     if extra > 1 or not given_words and not (short_a or short_b or common):
         return NO, 0
     if not given_words:  # initials come behind given names, so the side whose initial counts has no word left
@@ -189,17 +201,18 @@ def compare_people(fa: list[str], ia: list[str], wa: list[float], fb: list[str],
     return MISSING, 1 if left_a else -1
 
 
-def compare_orgs(fa: list[str], wa: list[float], fb: list[str], wb: list[float]) -> int:
-    """Words may be typed wrong or cut short (a prefix of two letters or more); nothing but fillers may be left over."""
+def abbreviates(x: str, y: str) -> bool:
+    """Whether x is y cut short (its first two letters or more), or up to four of its letters from the first to the last."""
+    if len(x) < 2 or len(x) >= len(y) or x[0] != y[0]:
+        return False
+    rest = iter(y)
+    return y.startswith(x) or len(x) <= 4 and x[-1] == y[-1] and all(c in rest for c in x)
+
+
+def compare_orgs(fa: list[str], wa: list[float], fb: list[str], wb: list[float], least: float = ORGANISATIONS) -> int:
+    """STRONG or NO: the soft weighted similarity must reach `least`, and not both may have words left but fillers. Words
+    may be typed wrong, cut short, or stand as their capitals."""
     pairs, ra, rb = align(fa, fb)
-    for i in list(ra):
-        for j in list(rb):
-            x, y = sorted((fa[i], fb[j]), key=len)
-            if len(x) >= 2 and y.startswith(x) or x == "bd" and y == "board":
-                pairs.append((i, j, 0.9))
-                ra.remove(i)
-                rb.remove(j)
-                break
     capital = 0.0
     for own, other, left, right in ((fa, fb, ra, rb), (fb, fa, rb, ra)):  # capitals of the words left on the other side
         for i in list(left):
@@ -209,9 +222,18 @@ def compare_orgs(fa: list[str], wa: list[float], fb: list[str], wb: list[float])
                 capital += 0.9 * (wo[i] + sum(wx[j] for j in right if other[j] not in FILLERS))
                 left.remove(i)
                 right[:] = [j for j in right if other[j] in FILLERS]
-    typed = lambda w: w in FILLERS or any(len(w) > 3 and osa(w, f, 2) <= 2 for f in ("university", "universiteit"))
-    if any(not typed(fa[i]) for i in ra) or any(not typed(fb[j]) for j in rb):
+    for i in list(ra):
+        for j in list(rb):
+            if abbreviates(*sorted((fa[i], fb[j]), key=len)):
+                pairs.append((i, j, 0.9))
+                ra.remove(i)
+                rb.remove(j)
+                break
+    filler = lambda w: w in FILLERS or len(w) > 5 and any(token_similarity(w, f) for f in FILLERS if len(f) > 5)
+    more_a, more_b = [i for i in ra if not filler(fa[i])], [j for j in rb if not filler(fb[j])]
+    if more_a or more_b:
         return NO
-    total = sum(wa) + sum(wb)
-    score = (capital + sum((wa[i] + wb[j]) * s for i, j, s in pairs)) / total if total else 1.0
-    return STRONG if score >= 0.75 else NO
+    kept_a, kept_b = [w for i, w in enumerate(wa) if i not in ra], [w for j, w in enumerate(wb) if j not in rb]
+    found = sum((wa[i] + wb[j]) * s for i, j, s in pairs) + capital
+    total = sum(kept_a) + sum(kept_b)
+    return STRONG if total and found / total >= least else NO
