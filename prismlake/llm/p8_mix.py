@@ -23,7 +23,7 @@ from ..session import cut
 from ..tables import table
 from .tokens import VOCABULARY, with_tokens
 
-SALT = "atlas-mix-1"
+SALT = "prismlake-mix-1"
 #: Tokens of the mix, as a share of what all targeted sources hold without repeats.
 BUDGET_SHARE = 0.5
 CELL_ROWS = 20_000

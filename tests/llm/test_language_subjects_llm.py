@@ -106,7 +106,7 @@ def subject_rows(n=400):
 def test_subjects(spark, monkeypatch):
     monkeypatch.setattr(A, "LEAVES", 12)
     monkeypatch.setattr(A, "MAX_SHARE", 0.6)
-    monkeypatch.setattr(A, "VECTOR_SHARE", 0.6)
+    monkeypatch.setattr(A, "TREE_DOCS", 150)
     docs, labels = subject_rows()
     extra = [(1000, "en", None, "x"), (1001, "en", "  ", "x"), (1002, None, "Nothing of the kind here.", "x")]
     areas = pd.DataFrame({"area_code": ["law", "bio", "art", None], "area_name": ["Law", "Life", "Arts", "?"], "scope_note": ["court", None, "painting", "?"]})
