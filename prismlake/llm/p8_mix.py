@@ -52,37 +52,37 @@ def finish_times(sized: DataFrame, targets: DataFrame, key: str, salt: str = SAL
 
 
 def truncate(uses: DataFrame, budget: float, bins: int = BINS) -> DataFrame:
-    """The uses, in the order (finish, source, key, use_no), whose tokens sum up to the budget at most."""
-    low, high, used, edge = 0.0, None, 0, None
-    inside = uses
-    for _ in range(2):  # bounded results: at most `bins` rows come to the driver
-        if high is None:
-            high = inside.agg(F.max("finish")).first()[0]
-        if high is None or high <= low:
-            break
-        number = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("finish") - F.lit(low)) / F.lit((high - low) / bins)))).cast("int")
-        sums = sorted((r[0], r[1]) for r in inside.groupBy(number.alias("bin")).agg(F.sum("n_tokens")).collect())
+    """The uses, in the order (finish, source, key, use_no), whose tokens sum up to the budget at most; `finish` is the
+    place of a use in the mix."""
+    number = lambda low, width: F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("finish") - F.lit(low)) / F.lit(width)))).cast("int")
+    high = uses.agg(F.max("finish")).first()[0]
+    if high is None:
+        return uses
+    whole, inside, used, low, width = [], uses, 0, 0.0, high / bins
+    for _ in range(2):  # at most `bins` rows come to the driver
+        if not width > 0:
+            break  # all that is left ends at the same time
+        bin_of = number(low, width)
         edge = None
-        for b, n in sums:
+        for b, n in sorted((r[0], r[1]) for r in inside.groupBy(bin_of.alias("bin")).agg(F.sum("n_tokens")).collect()):
             if used + n > budget:
                 edge = b
                 break
             used += n
-        if edge is None:
-            return uses
-        inside = inside.where(number == edge)
-        if _ == 0:
-            first_bin, first_of = number, edge
-        else:
-            second_bin, second_of = number, edge
-        width = (high - low) / bins
-        low, high = low + edge * width, low + (edge + 1) * width
-    if edge is None:
-        return uses
-    w = Window.orderBy("finish", "source", "key", "use_no").rowsBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("sum", F.sum("n_tokens").over(w)).where(F.col("sum") <= F.lit(budget - used)).drop("sum")
-    whole = uses.where(first_bin < first_of).unionByName(uses.where((first_bin == first_of) & (second_bin < second_of)))
-    return whole.unionByName(last)
+        if edge is None:  # everything fits
+            whole.append(inside)
+            inside = None
+            break
+        whole.append(inside.where(bin_of < edge))
+        inside = inside.where(bin_of == edge)
+        low, width = low + edge * width, width / bins
+    if inside is not None:
+        w = Window.orderBy("finish", "source", "key", "use_no").rowsBetween(Window.unboundedPreceding, 0)
+        whole.append(inside.withColumn("sum", F.sum("n_tokens").over(w)).where(F.col("sum") <= F.lit(budget - used)).drop("sum"))
+    out = whole[0]
+    for part in whole[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def mix(spark: SparkSession, sf_dir: str, budget_share: float = BUDGET_SHARE) -> DataFrame:
@@ -96,8 +96,8 @@ def mix(spark: SparkSession, sf_dir: str, budget_share: float = BUDGET_SHARE) ->
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every use of a record in the mix."""
-    return mix(spark, sf_dir).select("source", F.col("key").alias("doc_id"), "use_no", "n_tokens")
+    """Every use of a record in the mix; ordered by finish (ties: source, doc_id, use_no) it is the mix's sequence."""
+    return mix(spark, sf_dir).select("source", F.col("key").alias("doc_id"), "use_no", "n_tokens", "finish")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
