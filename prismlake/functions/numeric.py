@@ -33,6 +33,36 @@ def min_max(x: Column, over) -> Column:
     return F.when(high == low, F.lit(1.0)).otherwise((x - low) / F.nullif(high - low, F.lit(0.0)))
 
 
+#: Weights of composite scores. The parts are scaled to 0..1 by min_max over all runs (perplexity: one
+#: less that), but those of "projection", which are shares already; see projection_parts for two of them.
+WEIGHTS = {
+    "topics_first": {"coherence": 0.30, "perplexity": 0.25, "diversity": 0.15, "exclusivity": 0.15, "dominance": 0.10, "usage": 0.05},
+    "topics_final": {"coherence": 0.22, "perplexity": 0.18, "diversity": 0.12, "exclusivity": 0.12, "topic_stability": 0.18, "assignment_stability": 0.13, "dominance": 0.05},
+    "clusters": {"agreement": 0.35, "membership": 0.30, "silhouette": 0.20, "coverage": 0.15},
+    "projection": {"trustworthiness": 0.35, "recall_15": 0.35, "recall_50": 0.15, "spearman": 0.10, "shape": 0.05},
+    "layout": {"quality": 0.82, "neighbour_agreement": 0.18},
+}
+
+
+#: Parts of which less is better.
+INVERSE = {"perplexity"}
+
+
+def composite(parts: dict[str, float], over) -> Column:
+    """The weighted sum of the named columns, each scaled to 0..1 over all rows of the window, those of INVERSE reversed."""
+    total = None
+    for name, w in parts.items():
+        x = min_max(F.col(name), over)
+        term = (1 - x if name in INVERSE else x) * F.lit(w)
+        total = term if total is None else total + term
+    return total
+
+
+def projection_parts(spearman: Column, balance: Column) -> tuple[Column, Column]:
+    """A negative rank correlation counts 0, a shape balance three times and up to 1."""
+    return F.greatest(F.lit(0.0), spearman), F.least(F.lit(1.0), 3 * balance)
+
+
 def weighted(parts: dict[str, float]) -> Column:
     """Weighted sum of columns, added in the order given."""
     total = None

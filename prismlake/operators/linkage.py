@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import link_form, one_edit, sequence_ratio, surname
+from ..functions.text import decompose, link_form, one_edit, sequence_ratio, surname
 
 #: Candidate types that agree with a source type.
 COMPATIBLE = {
@@ -38,11 +38,12 @@ def score(similarity: Column, author: Column, a: Column, b: Column) -> Column:
     return similarity * 0.84 + F.coalesce(author, F.lit(False)).cast("double") * 0.10 + year.cast("double") * 0.06
 
 
-def accepted(similarity: Column, author: Column, authors: Column, a: Column, b: Column, compatible: Column) -> Column:
+def accepted(similarity: Column, author: Column, authors: Column, a: Column, b: Column, compatible: Column, repeats: Column | None = None) -> Column:
     """Title at 0.94 or more, the author found (or no authors, the title equal and the years equal), years at most two
-    apart, types compatible."""
+    apart, types compatible, and not `repeats` (see circular)."""
     author_ok = F.coalesce(author, F.lit(False)) | ((F.coalesce(authors, F.lit(0)) == 0) & (similarity == 1) & F.coalesce(a == b, F.lit(False)))
-    return F.coalesce((similarity >= 0.94) & author_ok & year_ok(a, b) & compatible, F.lit(False))
+    own = F.lit(False) if repeats is None else repeats
+    return F.coalesce((similarity >= 0.94) & author_ok & year_ok(a, b) & compatible & ~own, F.lit(False))
 
 
 def accepted_legacy(similarity: Column, author: Column, a: Column, b: Column) -> Column:
@@ -52,12 +53,15 @@ def accepted_legacy(similarity: Column, author: Column, a: Column, b: Column) ->
 
 def best_candidate(pairs: DataFrame, key: str, title: str, creator: str, year: str, other: str, people: str, other_year: str, candidate: str) -> DataFrame:
     """pairs with similarity, author_match and score, the best candidate of each record only (ties: the first by id)."""
-    families = F.transform(F.split(F.coalesce(people, F.lit("")), ";"), lambda x: F.element_at(F.split(F.trim(x), " "), -1))
-    s = pairs.withColumn("similarity", sequence_ratio(link_form(F.col(title)), link_form(F.col(other))))
-    s = s.withColumn("families", families).withColumn("author_match", F.array_contains(F.transform("families", lambda x: F.lower(x)), surname(F.col(creator))))
+    # a name's family in its raw form, then all at once in link form; line breaks keep them apart
+    raw = F.transform(F.split(F.replace(F.coalesce(people, F.lit("")), F.lit("\n"), F.lit(" ")), ";"), lambda x: F.when(F.contains(x, F.lit(",")), F.substring_index(x, ",", 1)).otherwise(F.element_at(F.split(F.trim(x), " "), -1)))
+    plain = decompose(F.array_join(raw, "\n"))
+    families = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(F.replace(x, F.lit("ß"), F.lit("ss"))), "[^a-z0-9]+", " ")))
+    s = pairs.withColumn("similarity", sequence_ratio(link_form(F.col(title)), link_form(F.col(other)))).withColumn("own", surname(F.col(creator)))
+    s = s.withColumn("author_match", F.coalesce((F.col("own") != "") & F.array_contains(families, F.col("own")), F.lit(False))).drop("own")
     s = s.withColumn("score", F.round(score(F.col("similarity"), F.col("author_match"), F.col(year), F.col(other_year)), 4))
     w = Window.partitionBy(key).orderBy(F.desc("score"), candidate)
-    return s.drop("families").withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
+    return s.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
 def near_words(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import stability_band
+
 NOISE = -1
 
 
@@ -35,6 +37,22 @@ def best_match(counts: DataFrame) -> DataFrame:
     )
 
 
+def cluster_stability(runs: DataFrame) -> DataFrame:
+    """(a, runs, size, jaccard_mean, jaccard_median, jaccard_min, low, high, band) of each cluster of a reference over
+    other runs: its best Jaccard in each, the 95 % interval of those and the band of their mean. runs: (run, a, b,
+    observed), one contingency table per run, a being the reference; noise has no row."""
+    rows = runs.groupBy("run", "a").agg(F.sum("observed").alias("size_a"))
+    cols = runs.groupBy("run", "b").agg(F.sum("observed").alias("size_b"))
+    j = F.col("observed") / (F.col("size_a") + F.col("size_b") - F.col("observed"))
+    best = runs.where(f"a <> {NOISE} AND b <> {NOISE}").join(rows, ["run", "a"]).join(cols, ["run", "b"]).groupBy("run", "a").agg(F.max(j).alias("j"))
+    each = rows.where(f"a <> {NOISE}").join(best, ["run", "a"], "left").withColumn("j", F.coalesce("j", F.lit(0.0)))
+    stats = each.groupBy("a").agg(
+        F.count("*").alias("runs"), F.max("size_a").alias("size"), F.avg("j").alias("jaccard_mean"), F.percentile("j", 0.5).alias("jaccard_median"), F.min("j").alias("jaccard_min"),
+        F.percentile("j", 0.025).alias("low"), F.percentile("j", 0.975).alias("high"),
+    )
+    return stats.withColumn("band", stability_band(F.col("jaccard_mean")))
+
+
 def overlap_edges(counts: DataFrame, least: float = 0.70) -> DataFrame:
     return jaccard(counts).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 

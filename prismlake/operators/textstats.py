@@ -101,3 +101,32 @@ def inverted_index(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(token, postings, df)."""
     each = rows.select(F.col(key).alias("row"), F.explode(F.array_distinct(tokens)).alias("token"))
     return each.groupBy("token").agg(F.array_sort(F.collect_list("row")).alias("postings"), F.count("*").alias("df"))
+
+
+def term_centroids(weights: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, term, c): normalised mean of the classes' document vectors. weights: (doc, term, w); labels: (doc, label)."""
+    total = weights.join(labels, "doc").groupBy("label", "term").agg(F.sum("w").alias("s"))
+    norm = F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("label")))
+    return total.select("label", "term", (F.col("s") / norm).alias("c"))
+
+
+def nearest_class(weights: DataFrame, labels: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(doc, label, nearest, own, other): similarity of each labelled document to its class's centroid and to the best
+    other one; classes without a common term have 0, ties go to the smaller label. Terms are joined, so a document meets
+    only what it shares; the list of classes is as long as there are labels."""
+    score = weights.join(centroids.withColumnRenamed("label", "class"), "term").groupBy("doc", "class").agg(F.sum(F.col("w") * F.col("c")).alias("score"))
+    classes = centroids.select(F.col("label").alias("class")).distinct()
+    every = labels.crossJoin(F.broadcast(classes)).join(score, ["doc", "class"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+    best = F.max_by("class", F.struct(F.col("score"), -F.col("class")))
+    return every.groupBy("doc", "label").agg(
+        best.alias("nearest"), F.max(F.when(F.col("class") == F.col("label"), F.col("score"))).alias("own"), F.max(F.when(F.col("class") != F.col("label"), F.col("score"))).alias("other")
+    )
+
+
+def class_quality(nearest: DataFrame) -> DataFrame:
+    """(documents, accuracy, cohesion_mean, margin_mean, margin_positive_pct) of nearest_class."""
+    margin = F.col("own") - F.col("other")
+    return nearest.agg(
+        F.count("*").alias("documents"), F.avg((F.col("nearest") == F.col("label")).cast("double")).alias("accuracy"), F.avg("own").alias("cohesion_mean"),
+        F.avg(margin).alias("margin_mean"), F.avg((margin > 0).cast("double") * 100).alias("margin_positive_pct"),
+    )

@@ -38,6 +38,22 @@ def composite_score(spark, sf):
     return g.select("l_returnflag", "l_linenumber", "step", F.round(N.weighted({"v": 0.45, "m": 0.35, "inv": 0.20}), 6).alias("score"))
 
 
+def selection_scores(spark, sf):
+    """The five composite scores over groups of lineitem as runs of a study."""
+    parts = {
+        "coherence": F.avg("l_discount"), "perplexity": F.avg("l_extendedprice"), "diversity": F.avg("l_tax"), "exclusivity": F.avg("l_quantity"), "dominance": F.max("l_discount"), "usage": F.count("*").cast("double"),
+        "topic_stability": F.min("l_extendedprice"), "assignment_stability": F.max("l_extendedprice"), "agreement": F.avg("l_discount"), "membership": F.avg("l_tax"), "silhouette": F.avg("l_quantity"), "coverage": F.count("*").cast("double"),
+        "trustworthiness": F.avg("l_discount") * 10, "recall_15": F.avg("l_tax") * 10, "recall_50": F.avg("l_quantity") / 50, "correlation": F.avg("l_discount") * 20 - 1, "balance": F.avg("l_tax") * 10,
+    }
+    runs = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 30).alias("run")).agg(*[F.round(x, 6).alias(n) for n, x in parts.items()])
+    w = Window.partitionBy()  # over the runs of a study
+    spearman, shape = N.projection_parts(F.col("correlation"), F.col("balance"))
+    runs = runs.withColumn("spearman", spearman).withColumn("shape", shape)
+    runs = runs.withColumn("quality", N.weighted(N.WEIGHTS["projection"])).withColumn("neighbour_agreement", F.col("recall_50"))
+    scores = {k: N.composite(N.WEIGHTS[k], w) for k in ("topics_first", "topics_final", "clusters")} | {"projection": F.col("quality"), "layout": N.weighted(N.WEIGHTS["layout"])}
+    return runs.select("run", *[F.round(x, 6).alias(k) for k, x in scores.items()])
+
+
 def top2_per_band(spark, sf):
     g = _grid(spark, sf).withColumn("tie", F.col("step") * 100 + F.col("l_linenumber"))
     return E.best_per_group(g, "l_returnflag", "value", "tie", 2).select("l_returnflag", "tie", "value", F.col("place").cast("long").alias("place"))
@@ -231,7 +247,7 @@ _RP = f"WITH p AS (SELECT i, {_X('pairs:l', 'i')} % 500 AS \"left\", {_X('pairs:
 _N2 = lambda c: f"(CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 1.0::DOUBLE ELSE ({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) END)"
 
 QUERIES = {f.__name__: f for f in (
-    grid_neighbour_mean, previous_next, minmax_score, composite_score, top2_per_band, best_per_band, share_within, label_rank, multi_key_top, edge_sort, merge_tables, left_joins, descriptor_choice, reshaped_columns,
+    grid_neighbour_mean, previous_next, minmax_score, composite_score, selection_scores, top2_per_band, best_per_band, share_within, label_rank, multi_key_top, edge_sort, merge_tables, left_joins, descriptor_choice, reshaped_columns,
     review_flags, union_ragged, set_operations, anti_join, distinctness, disjoint_groups, platform_grouping_sets, pivot_metric, missing_cells, catalogue_upsert, resume_runs, audit_differences, hash_split, fraction_split,
     hash_sample, stratified_hash_sample, resample_indices, random_pairs, coassignment,
 )}
@@ -241,6 +257,13 @@ SQL = {
     "previous_next": _G + " SELECT l_returnflag, l_linenumber, step, lag(value) OVER w AS previous, lead(value) OVER w AS following FROM g WINDOW w AS (PARTITION BY l_returnflag, l_linenumber ORDER BY step)",
     "minmax_score": _G + f" SELECT l_returnflag, l_linenumber, step, round({_N2('value')}, 6) AS value01, 1.0::DOUBLE AS constant01 FROM g",
     "composite_score": _G + f", s AS (SELECT *, {_N2('value')} AS v, {_N2('n::DOUBLE')} AS m FROM g) SELECT l_returnflag, l_linenumber, step, round(v * 0.45::DOUBLE + m * 0.35::DOUBLE + (1 - m) * 0.20::DOUBLE, 6) AS score FROM s",
+    "selection_scores": """WITH r AS (SELECT l_suppkey % 30 AS run, round(avg(l_discount), 6) AS d, round(avg(l_extendedprice), 6) AS p, round(avg(l_tax), 6) AS t, round(avg(l_quantity), 6) AS q, round(max(l_discount), 6) AS dm,
+  count(*)::DOUBLE AS n, round(min(l_extendedprice), 6) AS pl, round(max(l_extendedprice), 6) AS ph, round(avg(l_discount) * 10, 6) AS tw, round(avg(l_tax) * 10, 6) AS r15, round(avg(l_quantity) / 50, 6) AS r50,
+  round(avg(l_discount) * 20 - 1, 6) AS co FROM lineitem GROUP BY 1),
+ m AS (SELECT run, """ + ", ".join(f"coalesce(({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 1) AS {c}" for c in ("d", "p", "t", "q", "dm", "n", "pl", "ph")) + """,
+  0.35 * tw + 0.35 * r15 + 0.15 * r50 + 0.10 * greatest(0, co) + 0.05 * least(1, 3 * r15) AS quality, r50 FROM r)
+ SELECT run, round(0.30 * d + 0.25 * (1 - p) + 0.15 * t + 0.15 * q + 0.10 * dm + 0.05 * n, 6) AS topics_first, round(0.22 * d + 0.18 * (1 - p) + 0.12 * t + 0.12 * q + 0.18 * pl + 0.13 * ph + 0.05 * dm, 6) AS topics_final,
+ round(0.35 * d + 0.30 * t + 0.20 * q + 0.15 * n, 6) AS clusters, round(quality, 6) AS projection, round(0.82 * quality + 0.18 * r50, 6) AS layout FROM m""",
     "top2_per_band": _G + " SELECT l_returnflag, tie, value, place FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY value DESC, tie) AS place FROM (SELECT *, step * 100 + l_linenumber AS tie FROM g)) WHERE place <= 2",
     "best_per_band": _G + """ SELECT band, tie, value FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY value DESC, tie) AS place FROM (SELECT *, CASE WHEN l_linenumber * 12 <= 30 THEN 'broad' WHEN l_linenumber * 12 <= 60 THEN 'balanced' ELSE 'detailed' END AS band,
  l_returnflag || '|' || l_linenumber || '|' || step AS tie FROM g)) WHERE place = 1""",

@@ -100,6 +100,15 @@ def stability_bands(spark, sf):
     return _runs(spark, sf).select("dimension", "run", stability_band(F.col("ari") * 1.5).alias("band"))
 
 
+def cluster_stability(spark, sf):
+    """Each label of the vectors over four relabelled runs, some of whose members are noise."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    runs = [F.struct(F.lit(m).alias("run"), F.when(F.col("vec_id") % (m + 4) == 0, -1).when(F.col("vec_id") % m == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("b")) for m in (2, 3, 5, 8)]
+    counts = e.select(F.col("label").alias("a"), F.inline(F.array(*runs))).groupBy("run", "a", "b").agg(F.count("*").alias("observed"))
+    s = P.cluster_stability(counts)
+    return s.select("a", "runs", "size", *[F.round(c, 9).alias(c) for c in ("jaccard_mean", "jaccard_median", "jaccard_min", "low", "high")], "band")
+
+
 def resampling_summary(spark, sf):
     """Means over all runs and over those that did not collapse, with the number of collapsed ones."""
     r = _runs(spark, sf).withColumn("k", F.col("clusters") % 9)
@@ -158,7 +167,7 @@ x AS (SELECT run, avg(ari) AS x FROM r GROUP BY 1), p AS (SELECT l.run AS left_r
 
 QUERIES = {f.__name__: f for f in (
     contingency_noise, cluster_overlap_edges, best_match_jaccard, modal_overlap, partition_ari, partition_ari_assigned, partition_ami, mapped_agreement, optimal_mapping,
-    jaccard_summary, cluster_summary, partition_filter, run_summary, percentile_interval, stability_bands, resampling_summary, run_pairs, medoid_run, per_paper_agreement, consensus, pareto_front,
+    jaccard_summary, cluster_summary, partition_filter, run_summary, percentile_interval, stability_bands, cluster_stability, resampling_summary, run_pairs, medoid_run, per_paper_agreement, consensus, pareto_front,
 )}
 SQL = {
     "contingency_noise": _L + "SELECT * FROM t",
@@ -177,6 +186,12 @@ SELECT (SELECT count(*) FROM e) AS papers, (SELECT count(*) FROM k) AS cluster_c
     "run_summary": _R + """SELECT dimension, quantile_cont(clusters, 0.5) AS clusters_median, min(clusters) AS clusters_min, max(clusters) AS clusters_max, round(avg(ari), 6) AS ari_mean, round(quantile_cont(ari, 0.5), 6) AS ari_median,
  round(min(ari), 6) AS ari_min, round(quantile_cont(noise_pct, 0.1), 6) AS noise_q10, round(quantile_cont(noise_pct, 0.9), 6) AS noise_q90 FROM r GROUP BY 1""",
     "percentile_interval": _R + "SELECT dimension, round(quantile_cont(ari, 0.025), 6) AS low, round(quantile_cont(ari, 0.975), 6) AS high FROM r GROUP BY 1",
+    "cluster_stability": """WITH c AS (SELECT run, label AS a, CASE WHEN vec_id % (run + 4) = 0 THEN -1 WHEN vec_id % run = 0 THEN (label + 1) % 10 ELSE label END AS b, count(*) AS n FROM embeddings CROSS JOIN (VALUES (2), (3), (5), (8)) r(run) GROUP BY ALL),
+ j AS (SELECT run, a, b, n::DOUBLE / (sum(n) OVER (PARTITION BY run, a) + sum(n) OVER (PARTITION BY run, b) - n) AS j, sum(n) OVER (PARTITION BY run, a) AS size FROM c),
+ m AS (SELECT run, a, max(size) AS size, coalesce(max(j) FILTER (b <> -1), 0) AS j FROM j WHERE a <> -1 GROUP BY ALL),
+ s AS (SELECT a, count(*) AS runs, CAST(max(size) AS BIGINT) AS size, avg(j) AS mean, median(j) AS med, min(j) AS low_j, quantile_cont(j, 0.025) AS lo, quantile_cont(j, 0.975) AS hi FROM m GROUP BY a)
+ SELECT a, runs, size, round(mean, 9) AS jaccard_mean, round(med, 9) AS jaccard_median, round(low_j, 9) AS jaccard_min, round(lo, 9) AS low, round(hi, 9) AS high,
+ CASE WHEN mean < 0.60 THEN 'below_0.60' WHEN mean < 0.75 THEN '0.60_to_0.75' WHEN mean < 0.85 THEN '0.75_to_0.85' ELSE 'at_least_0.85' END AS band FROM s""",
     "stability_bands": _R + "SELECT dimension, run, CASE WHEN ari * 1.5::DOUBLE < 0.60 THEN 'below_0.60' WHEN ari * 1.5::DOUBLE < 0.75 THEN '0.60_to_0.75' WHEN ari * 1.5::DOUBLE < 0.85 THEN '0.75_to_0.85' ELSE 'at_least_0.85' END AS band FROM r",
     "resampling_summary": _R + "SELECT dimension, count(*) FILTER (clusters % 9 < 5) AS collapsed, round(avg(ari), 6) AS ari_mean, round(avg(ari) FILTER (clusters % 9 >= 5), 6) AS ari_kept, round(quantile_cont(ari, 0.1), 6) AS ari_q10 FROM r GROUP BY 1",
     "run_pairs": _R + "SELECT * FROM p",

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import link_form
 from ..operators import linkage as L
 from ..operators import search as S
-from ..session import cut
+from ..session import delete_on_exit, shared_dir
 from ..tables import table
 
 QUERY = "moral luck"
@@ -20,8 +22,10 @@ def _rows(spark, sf):
 
 def search_ranked(spark, sf):
     """The eight best rows for a typed query with a swapped letter and a plural; a top-k report."""
-    p = cut(S.prepare(_rows(spark, sf), "paper_idx", "title", "authors"))
-    return S.search(p, cut(S.index(p)), "moral lukc", 8)
+    path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
+    S.write_index(_rows(spark, sf), "paper_idx", "title", "authors", path)
+    return S.search_kept(spark, path, "moral lukc", 8)
 
 
 def search_phrase_tiers(spark, sf):

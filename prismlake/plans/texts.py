@@ -152,6 +152,16 @@ def tfidf_weights(spark, sf):
     return S.tfidf(tf, v, n).select("doc", "term", F.round("w", 8).alias("w"))
 
 
+def tfidf_centroid_quality(spark, sf):
+    """How well centroids of term weights tell the classes apart: fitted on some papers, judged on the others."""
+    docs, tf, v, n = _terms(spark, sf)
+    w = S.tfidf(tf, v, n)
+    held = F.conv(F.substring(F.md5("doc"), 1, 2), 16, 10).cast("int") < 64
+    labels = docs.select("doc", "label")
+    q = S.class_quality(S.nearest_class(w, labels.where(held), S.term_centroids(w, labels.where(~held))))
+    return q.select("documents", *[F.round(c, 6).alias(c) for c in ("accuracy", "cohesion_mean", "margin_mean", "margin_positive_pct")])
+
+
 def tfidf_train_only(spark, sf):
     """Weights of held-out documents by a vocabulary fitted on the others."""
     docs = _docs(spark, sf)
@@ -230,7 +240,7 @@ _LIN = lambda at: f"(CASE WHEN c{at} <= 0.04045 THEN c{at} / 12.92::DOUBLE ELSE
 
 QUERIES = {f.__name__: f for f in (
     clean_text, clean_text_plain, clean_date, key_extraction, default_records, document_texts, year_period_buckets, type_codes, config_keys, dedupe_keep_longest, record_chunks, singular_forms, token_edits, token_edits_all,
-    phrase_rows, surnames, search_forms, colour_contrast, neighbour_counts, json_fields, tokens_inverted_index, vocabulary_bounds, tfidf_weights, tfidf_train_only, tfidf_terms_by_class, npmi_smoothed, npmi_strict,
+    phrase_rows, surnames, search_forms, colour_contrast, neighbour_counts, json_fields, tokens_inverted_index, vocabulary_bounds, tfidf_weights, tfidf_centroid_quality, tfidf_train_only, tfidf_terms_by_class, npmi_smoothed, npmi_strict,
     topic_diversity, term_exclusivity, topic_distribution, ordered_string_agg,
 )}
 SQL = {
@@ -259,6 +269,13 @@ SQL = {
     "tokens_inverted_index": f"WITH s AS (SELECT paper_idx, max(title) AS title FROM search_rows GROUP BY 1), t AS (SELECT DISTINCT paper_idx, unnest({_WORDS('title', 4)}) AS token FROM s) SELECT token, string_agg(CAST(paper_idx AS VARCHAR), ',' ORDER BY paper_idx) AS postings, count(*) AS df FROM t GROUP BY 1",
     "vocabulary_bounds": _TF + "SELECT term, df, uses FROM v",
     "tfidf_weights": _TF + "SELECT doc, term, round(w, 8) AS w FROM wt",
+    "tfidf_centroid_quality": _TF + """, h AS (SELECT doc, label, CAST('0x' || substr(md5(doc), 1, 2) AS INT) < 64 AS held FROM d),
+ s AS (SELECT label, term, sum(w) AS s FROM wt JOIN h USING (doc) WHERE NOT held GROUP BY ALL), ce AS (SELECT label AS class, term, s / sqrt(sum(s * s) OVER (PARTITION BY label)) AS c FROM s),
+ sc AS (SELECT doc, class, sum(w * c) AS score FROM wt JOIN ce USING (term) GROUP BY ALL),
+ e AS (SELECT doc, label, class, round(coalesce(score, 0), 9) AS score FROM (SELECT doc, label FROM h WHERE held) CROSS JOIN (SELECT DISTINCT class FROM ce) LEFT JOIN sc USING (doc, class)),
+ b AS (SELECT doc, label, max(score) FILTER (class = label) AS own, max(score) FILTER (class <> label) AS other, first(class ORDER BY score DESC, class) AS nearest FROM e GROUP BY ALL)
+ SELECT count(*) AS documents, round(avg(CASE WHEN nearest = label THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, round(avg(own), 6) AS cohesion_mean, round(avg(own - other), 6) AS margin_mean,
+ round(avg(CASE WHEN own > other THEN 100.0::DOUBLE WHEN own <= other THEN 0 END), 6) AS margin_positive_pct FROM b""",
     "tfidf_train_only": f"""{_D}, h AS (SELECT doc, title, CAST('0x' || substr(md5(doc), 1, 2) AS INT) < 64 AS held FROM d),
  g AS (SELECT doc, held, unnest(list_filter({_WORDS('title', 3)}, lambda x: x NOT IN {_STOPS})) AS term FROM h), tf AS (SELECT doc, held, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM h WHERE NOT held),
  v AS (SELECT term, count(*) AS df FROM tf WHERE NOT held GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= (SELECT n FROM n) * 0.85::DOUBLE),

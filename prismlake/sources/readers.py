@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,16 +17,19 @@ def parquet(spark: SparkSession, path: str, required: list[str] | None = None) -
     return require_columns(df, required) if required else df
 
 
-def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, line) of a text file without blank lines; the ordinal is the place in the file.
+def _in_order(files: DataFrame, rows: str) -> DataFrame:
+    """(ordinal, item): the members of the array `rows` of each file, files in the order of their path and numbered
+    through. Only one row per file is ordered in one task; each file is one task, as its order is part of the data."""
+    each = files.select("path", F.posexplode(rows).alias("at", "item"))
+    before = files.select("path", (F.sum(F.size(rows)).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)) - F.size(rows)).alias("before"))
+    return each.join(before, "path").select((F.col("before") + F.col("at")).cast("long").alias("ordinal"), "item")
 
-    Whole files are read by one task each, as the order of lines is part of the data.
-    """
-    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
-    kept = files.select("at", F.trim("line").alias("line")).where(F.length("line") > 0)
-    from pyspark.sql import Window
 
-    return kept.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("ordinal"), "line")
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(ordinal, line) of text files without blank lines; the ordinal is the place in the file, files in order of path."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    kept = files.select("path", F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "").alias("rows"))
+    return _in_order(kept, "rows").select("ordinal", F.col("item").alias("line"))
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -48,11 +51,16 @@ def json_documents(spark: SparkSession, path: str, schema: StructType | str) ->
     return spark.read.json(path, schema=schema, multiLine=True)
 
 
-def json_positional(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """A JSON array of positional rows: (ordinal, the named columns)."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("rows"))
-    each = raw.select(F.posexplode("rows").alias("ordinal", "r"))
-    return each.select(F.col("ordinal").cast("long").alias("ordinal"), *[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)])
+def json_positional(spark: SparkSession, path: str, names: list[str], expected: int | None = None) -> DataFrame:
+    """JSON arrays of positional rows, one per file (shard): (ordinal, the named columns), shards in order of path and
+    numbered through. Raises if there are not `expected` rows in all."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    parsed = files.select("path", F.from_json("value", "array<array<string>>").alias("rows"))
+    if expected is not None:
+        n = parsed.agg(F.sum(F.size("rows"))).first()[0] or 0
+        if n != expected:
+            raise ValueError(f"{n} rows, not {expected}")
+    return _in_order(parsed, "rows").select("ordinal", *[F.get("item", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
