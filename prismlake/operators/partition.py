@@ -6,6 +6,7 @@ Everything starts from a contingency table (a, b, observed), whose size is label
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -170,15 +171,34 @@ def cluster_summary(labels: DataFrame) -> DataFrame:
     return total.crossJoin(inner).withColumn("noise_pct", 100.0 * F.col("noise_count") / F.col("papers")).withColumn("coverage", 1.0 - F.col("noise_count") / F.col("papers"))
 
 
+def _front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows (k, o) that no other row seen here beats: as good in every objective and better in one."""
+    kept = pd.DataFrame({"k": [], "o": []})
+    for pdf in batches:
+        both = pd.concat([kept, pdf], ignore_index=True) if len(kept) else pdf
+        x = np.array([[np.nan if v is None else v for v in o] for o in both["o"]], dtype=float)
+        beaten = lambda i, by: ((x[by] >= x[i]).all(axis=1) & (x[by] > x[i]).any(axis=1)).any()
+        stay: list[int] = []
+        for i in np.argsort(-np.nan_to_num(x).sum(axis=1), kind="stable"):  # who beats a row comes before it, or with an equal sum
+            if not stay or not beaten(i, stay):
+                stay.append(int(i))
+        stay = [i for i in stay if not beaten(i, stay)]
+        kept = both.iloc[sorted(stay)]
+    if len(kept):
+        yield kept
+
+
 def pareto(rows: DataFrame, key: str, maximise: list[str], minimise: list[str] = ()) -> DataFrame:
-    """rows with `front`: no other row is at least as good in every objective and better in one."""
-    at_least, better = F.lit(True), F.lit(False)
-    for sign, names in ((1, maximise), (-1, list(minimise))):
-        for c in names:
-            x, y = F.col(f"o.{c}") * sign, F.col(f"m.{c}") * sign
-            at_least, better = at_least & (x >= y), better | (x > y)
-    beaten = rows.alias("m").join(rows.alias("o"), at_least & better, "left_semi").select(F.col(f"m.{key}").alias(key), F.lit(False).alias("front"))
-    return rows.join(beaten, key, "left").withColumn("front", F.coalesce("front", F.lit(True)))
+    """rows with `front`: no other row is at least as good in every objective and better in one. A null or NaN beats nobody
+    and is never beaten.
+
+    Each partition keeps its own front, which holds the whole front's share; only those rows meet in one task.
+    """
+    signed = F.array(*[F.col(c).cast("double") for c in maximise], *[-F.col(c).cast("double") for c in minimise])
+    own = rows.select(F.col(key).alias("k"), signed.alias("o"))
+    schema = own.schema
+    front = own.mapInPandas(_front, schema).repartition(1).mapInPandas(_front, schema).select(F.col("k").alias(key), F.lit(True).alias("front")).distinct()
+    return rows.join(front, key, "left").withColumn("front", F.coalesce("front", F.lit(False)))
 
 
 def medoid(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def word_list(text: Column, least: int = 3, stop: list[str] = ()) -> Column:
-    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[a-z]{{{least},}}"), F.lit(0))
+    """Maximal runs of at least `least` letters of any script, lower-cased."""
+    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0))
     return F.filter(w, lambda x: ~x.isin(*stop)) if stop else w
 
 

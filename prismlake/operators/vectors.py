@@ -169,31 +169,22 @@ def purity(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     return n.groupBy("query", "label").agg(F.avg((F.col("label") == F.col("other")).cast("double")).alias("purity"))
 
 
-def permuted(labels: DataFrame, repeat: int, seed: str = "null") -> DataFrame:
-    """Labels in a random order that keeps every label's size: the i-th row by hash gets the i-th label."""
-    by_hash = labels.select("id", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(f"{seed}:{repeat}"), "id"), "id")).alias("i"))
-    by_label = labels.select("label", F.row_number().over(Window.orderBy("label", "id")).alias("i"))
-    return by_hash.join(by_label, "i").select("id", "label")
+def permuted(labels: DataFrame, repeats: int, seed: str = "null") -> DataFrame:
+    """(repeat, id, label): labels in random orders that keep every label's size: the i-th row by hash gets the i-th
+    label. Each repeat is ordered by itself, so there are as many tasks as repeats. labels: (id, label)."""
+    each = labels.select("id", "label", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    place = lambda *by: F.row_number().over(Window.partitionBy("repeat").orderBy(*by)).alias("i")
+    by_hash = each.select("repeat", "id", place(F.xxhash64(F.lit(seed), "repeat", "id"), "id"))
+    return by_hash.join(each.select("repeat", "label", place("label", "id")), ["repeat", "i"]).select("repeat", "id", "label")
 
 
-def silhouette(rows: DataFrame, key: str, v: str, label: str) -> DataFrame:
-    """(key, label, silhouette) with Euclidean distances on a sample: n x labels sums from n x n distances."""
-    a = rows.select(F.col(key).alias("x"), F.col(label).alias("lx"), F.col(v).alias("vx"))
-    b = rows.select(F.col(key).alias("y"), F.col(label).alias("ly"), F.col(v).alias("vy"))
-    d = a.crossJoin(F.broadcast(b)).where("x <> y").groupBy("x", "lx", "ly").agg(F.avg(F.sqrt(squared_distance(F.col("vx"), F.col("vy")))).alias("d"))
-    s = d.groupBy("x", "lx").agg(F.max(F.when(F.col("lx") == F.col("ly"), F.col("d"))).alias("a"), F.min(F.when(F.col("lx") != F.col("ly"), F.col("d"))).alias("b"))
-    value = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return s.select(F.col("x").alias(key), F.col("lx").alias("label"), value.alias("silhouette"))
-
-
-def trustworthiness(rows: DataFrame, key: str, source: str, shown: str, k: int) -> DataFrame:
-    """(trustworthiness, n) of a projection on a sample: neighbours shown that are far away in the source cost their rank."""
-    a, b = rows.select(F.col(key).alias("x"), F.col(source).alias("sx"), F.col(shown).alias("tx")), rows.select(F.col(key).alias("y"), F.col(source).alias("sy"), F.col(shown).alias("ty"))
-    d = a.crossJoin(F.broadcast(b)).where("x <> y").select("x", "y", F.round(squared_distance(F.col("sx"), F.col("sy")), 9).alias("ds"), F.round(squared_distance(F.col("tx"), F.col("ty")), 9).alias("dt"))
-    r = d.withColumn("rs", F.row_number().over(Window.partitionBy("x").orderBy("ds", "y"))).withColumn("rt", F.row_number().over(Window.partitionBy("x").orderBy("dt", "y")))
-    n = F.count_distinct("x").cast("double")
-    penalty = F.sum(F.when((F.col("rt") <= k) & (F.col("rs") > k), F.col("rs") - k).otherwise(0))
-    return r.agg((1.0 - 2.0 * penalty / (n * k * (2.0 * n - 3.0 * k - 1.0))).alias("trustworthiness"), n.cast("long").alias("n"))
+def null_purity(neighbours: DataFrame, labels: DataFrame, repeats: int, seed: str = "null") -> DataFrame:
+    """(repeat, x): mean purity of the same neighbours under each permutation of the labels."""
+    p = permuted(labels, repeats, seed)
+    own = p.where("label >= 0").select("repeat", F.col("id").alias("query"), "label")
+    n = neighbours.select("query", "neighbour").join(own, "query").join(p.select("repeat", F.col("id").alias("neighbour"), F.col("label").alias("other")), ["repeat", "neighbour"])
+    per = n.groupBy("repeat", "query").agg(F.avg((F.col("label") == F.col("other")).cast("double")).alias("purity"))
+    return per.groupBy("repeat").agg(F.avg("purity").alias("x"))
 
 
 def blocks(rows: DataFrame, key: str, widths: int) -> Iterator[pd.DataFrame]:
@@ -210,8 +201,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0)
 
 
-def silhouette_whole(rows: DataFrame, key: str, v: str, label: str) -> DataFrame:
-    """(key, label, silhouette) as silhouette() gives it, of all rows: each block is compared with all rows in batches."""
+def silhouette(rows: DataFrame, key: str, v: str, label: str) -> DataFrame:
+    """(key, label, silhouette) with Euclidean distances, of all rows: each block is compared with all rows in batches. A row
+    alone in its label has 0."""
     spark, out = rows.sparkSession, None
     rows = rows.select(F.col(key).cast("long").alias("x"), F.col(label).cast("long").alias("lx"), F.col(v).alias("v"))
     for part in blocks(rows, "x", len((rows.first() or [0, 0, [0]])[2])):
@@ -241,9 +233,9 @@ def silhouette_whole(rows: DataFrame, key: str, v: str, label: str) -> DataFrame
     return s.select(F.col("x").alias(key), F.col("lx").alias("label"), value.alias("silhouette"))
 
 
-def trustworthiness_whole(rows: DataFrame, key: str, source: str, shown: str, k: int) -> DataFrame:
-    """(trustworthiness, n) as trustworthiness() gives it, of all rows: the k neighbours shown of every row, then, block by
-    block, how many rows are nearer in the source than each of them."""
+def trustworthiness(rows: DataFrame, key: str, source: str, shown: str, k: int) -> DataFrame:
+    """(trustworthiness, n) of a projection, of all rows: neighbours shown that are far away in the source cost their rank.
+    The k neighbours shown of every row, then, block by block, how many rows are nearer in the source than each."""
     spark, out = rows.sparkSession, None
     near = knn(rows, rows, k, key, shown, "euclidean").select("query", "neighbour")
     each = rows.select(F.col(key).cast("long").alias("x"), F.col(source).alias("v"))

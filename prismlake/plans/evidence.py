@@ -225,16 +225,22 @@ def resample_indices(spark, sf):
     return out
 
 
+def _numbered(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select((F.row_number().over(Window.orderBy("vec_id")) - 1).cast("long").alias("number"), "label"), e.count()
+
+
 def random_pairs(spark, sf):
-    return M.random_pairs(spark, 2000, 500, "pairs")
+    """Pairs of row numbers over the whole table."""
+    return M.random_pairs(spark, 2000, max(1, table(spark, sf, "embeddings").count()), "pairs")
 
 
 def coassignment(spark, sf):
     """How often sampled pairs share a label in three relabelled runs, by whether they share the reference label."""
-    e = table(spark, sf, "embeddings")
-    p = M.random_pairs(spark, 2000, 500, "pairs")
-    x = e.select(F.col("vec_id").alias("left"), F.col("label").alias("a"))
-    y = e.select(F.col("vec_id").alias("right"), F.col("label").alias("b"))
+    e, n = _numbered(spark, sf)
+    p = M.random_pairs(spark, 2000, max(1, n), "pairs")
+    x = e.select(F.col("number").alias("left"), F.col("label").alias("a"))
+    y = e.select(F.col("number").alias("right"), F.col("label").alias("b"))
     moved = lambda k, c, m: F.when(F.col(k) % m == 0, (F.col(c) + 1) % 10).otherwise(F.col(c))
     same = sum(((moved("left", "a", m) == moved("right", "b", m)).cast("int") for m in (3, 5, 8)), F.lit(0)) / 3.0
     return p.join(x, "left").join(y, "right").groupBy((F.col("a") == F.col("b")).alias("within")).agg(F.count("*").alias("pairs"), F.round(F.avg(same), 6).alias("coassigned"))
@@ -243,7 +249,7 @@ def coassignment(spark, sf):
 _G = "WITH g AS (SELECT l_returnflag, l_linenumber, CAST(round(l_discount * 100) AS INT) AS step, round(avg(l_quantity), 6) AS value, count(*) AS n FROM lineitem GROUP BY ALL)"
 _H = lambda seed, key: f"sha256('{seed}:' || CAST({key} AS VARCHAR))"
 _X = lambda seed, key: f"CAST('0x' || substr({_H(seed, key)}, 1, 13) AS BIGINT)"
-_RP = f"WITH p AS (SELECT i, {_X('pairs:l', 'i')} % 500 AS \"left\", {_X('pairs:r', 'i')} % 500 AS \"right\" FROM range(2000) t(i)), q AS (SELECT * FROM p WHERE \"left\" <> \"right\")"
+_RP = f"WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS number, label FROM embeddings), c AS (SELECT count(*) AS n FROM e), p AS (SELECT i, {_X('pairs:l', 'i')} % c.n AS \"left\", {_X('pairs:r', 'i')} % c.n AS \"right\" FROM range(2000) t(i) CROSS JOIN c), q AS (SELECT * FROM p WHERE \"left\" <> \"right\")"
 _N2 = lambda c: f"(CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 1.0::DOUBLE ELSE ({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0) END)"
 
 QUERIES = {f.__name__: f for f in (
@@ -307,7 +313,7 @@ SQL = {
     "stratified_hash_sample": f"SELECT o_orderstatus, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY {_H(20, 'o_orderkey')}, o_orderkey) AS i FROM orders WHERE o_orderstatus <> 'P') WHERE i <= 12",
     "resample_indices": " UNION ALL ".join(f"SELECT {r} AS repeat, vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY {_H(f'resample-{r}', 'vec_id')}, vec_id) AS i, count(*) OVER () AS n FROM embeddings) WHERE i <= floor(n * 0.8::DOUBLE)" for r in range(4)),
     "random_pairs": _RP + " SELECT i, \"left\", \"right\" FROM q",
-    "coassignment": _RP + """, x AS (SELECT q.*, a.label AS a, b.label AS b FROM q JOIN embeddings a ON a.vec_id = "left" JOIN embeddings b ON b.vec_id = "right"),
+    "coassignment": _RP + """, x AS (SELECT q.*, a.label AS a, b.label AS b FROM q JOIN e a ON a.number = "left" JOIN e b ON b.number = "right"),
  y AS (SELECT a = b AS within, """ + " + ".join(f'CASE WHEN (CASE WHEN "left" % {m} = 0 THEN (a + 1) % 10 ELSE a END) = (CASE WHEN "right" % {m} = 0 THEN (b + 1) % 10 ELSE b END) THEN 1 ELSE 0 END' for m in (3, 5, 8)) + """ AS s FROM x)
  SELECT within, count(*) AS pairs, round(avg(s / 3.0::DOUBLE), 6) AS coassigned FROM y GROUP BY 1""",
 }

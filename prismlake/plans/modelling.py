@@ -42,7 +42,7 @@ def model_lda(spark, sf):
     """Topics of the titles: documents, leading terms and label of each topic."""
     docs = papers(spark, sf).select(F.col("paper_id").alias("doc"), "title")
     tf = S.counts(docs, "doc", S.word_list(F.col("title"), 4))
-    vocab = [r["term"] for r in S.bounded(tf, docs.count(), 5, 0.5, 2000).orderBy("term").collect()]
+    vocab = [r["term"] for r in S.bounded(tf, docs.count(), 5, 0.5, 20_000).orderBy("term").collect()]
     model, feats = M.lda(tf, vocab, {"topics": 8, "alpha": 0.125, "eta": 0.125}, 3, 5)
     n = M.dominant(model, feats).groupBy("topic").agg(F.count("*").alias("documents"))
     terms = M.topic_terms(model, vocab, 10).select(F.col("topic").alias("group"), "place", "term")

@@ -38,13 +38,13 @@ def search_phrase_tiers(spark, sf):
 
 def search_vocabulary(spark, sf):
     """Index tokens that a query token reaches by prefix or number."""
-    words = _rows(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{2,}"), F.lit(0))).alias("token"), F.col("paper_idx").alias("row"))
+    words = _rows(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("token"), F.col("paper_idx").alias("row"))
     return S.vocabulary_matches(words, "theori").select("token")
 
 
 def search_candidates(spark, sf):
     """Rows of the query token with the fewest postings."""
-    words = _rows(spark, sf).select(F.col("paper_idx").alias("row"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{2,}"), F.lit(0)))).alias("token"))
+    words = _rows(spark, sf).select(F.col("paper_idx").alias("row"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"\p{L}{2,}"), F.lit(0)))).alias("token"))
     n = words.where(F.col("token").isin("moral", "luck", "the")).groupBy("token").agg(F.count("*").alias("n"))
     least = n.withColumn("place", F.row_number().over(Window.orderBy("n", "token"))).where("place = 1").select("token")
     return words.join(F.broadcast(least), "token").select("row", "token")
@@ -106,8 +106,8 @@ QUERIES = {f.__name__: f for f in (search_ranked, search_phrase_tiers, search_vo
 SQL = {
     "search_phrase_tiers": f"""SELECT * FROM (SELECT paper_idx AS row, CASE WHEN t = '{QUERY}' THEN 1400 WHEN a = '{QUERY}' THEN 1350 WHEN starts_with(t, '{QUERY}') THEN 1250 WHEN starts_with(a, '{QUERY}') THEN 1200
  WHEN ' ' || t || ' ' LIKE '% {QUERY} %' THEN 1100 END AS score FROM (SELECT paper_idx, lower(coalesce(title, '')) AS t, lower(coalesce(authors, '')) AS a FROM {_R})) WHERE score IS NOT NULL""",
-    "search_vocabulary": f"SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower(title), '[a-z]{{2,}}')) AS token FROM {_R}) WHERE token LIKE 'theori%' OR token IN ('theori', 'theoris')",
-    "search_candidates": f"""WITH w AS (SELECT DISTINCT paper_idx AS row, unnest(regexp_extract_all(lower(title), '[a-z]{{2,}}')) AS token FROM {_R})
+    "search_vocabulary": f"SELECT DISTINCT token FROM (SELECT unnest(regexp_extract_all(lower(title), '\\p{{L}}{{2,}}')) AS token FROM {_R}) WHERE token LIKE 'theori%' OR token IN ('theori', 'theoris')",
+    "search_candidates": f"""WITH w AS (SELECT DISTINCT paper_idx AS row, unnest(regexp_extract_all(lower(title), '\\p{{L}}{{2,}}')) AS token FROM {_R})
  SELECT row, token FROM w WHERE token = (SELECT token FROM w WHERE token IN ('moral', 'luck', 'the') GROUP BY 1 ORDER BY count(*), token LIMIT 1)""",
     "linkage_accept": _ACC + "SELECT record_id, strict, legacy, compatible FROM a",
     "linkage_rates": _ACC + "SELECT source_type, count(*) AS records, count(candidate_title) AS hits, count(*) FILTER (strict) AS accepted, round(count(*) FILTER (strict)::DOUBLE / count(*), 6) AS rate, count(*) FILTER (author_match) AS author_matches FROM a GROUP BY 1",

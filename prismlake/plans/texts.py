@@ -81,14 +81,7 @@ def singular_forms(spark, sf):
 
 
 def token_edits(spark, sf):
-    """Pairs of first names of suppliers' nations one edit apart: the edit test over a small vocabulary."""
-    w = table(spark, sf, "search_rows").select(F.explode(S.word_list(F.col("title"), 5)).alias("t")).distinct()
-    a, b = w.select(F.col("t").alias("a"), F.substring("t", 1, 2).alias("p")), w.select(F.col("t").alias("b"), F.substring("t", 1, 2).alias("p"))
-    return a.join(b, "p").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)).where(T.one_edit("a", "b")).select("a", "b")
-
-
-def token_edits_all(spark, sf):
-    """Title words one edit or swap apart wherever it is; token_edits keeps to equal first two letters, as its SQL does."""
+    """Title words one edit or swap apart."""
     w = table(spark, sf, "search_rows").select(F.explode(S.word_list(F.col("title"), 5)).alias("a")).distinct()
     return L.near_words(w, w.withColumnRenamed("a", "b")).where("a < b")
 
@@ -135,7 +128,7 @@ def tokens_inverted_index(spark, sf):
     return i.select("token", F.concat_ws(",", F.transform("postings", lambda x: x.cast("string"))).alias("postings"), "df")
 
 
-def _terms(spark, sf, min_df=5, max_df=0.42, features=2000):
+def _terms(spark, sf, min_df=5, max_df=0.42, features=40_000):
     docs = _docs(spark, sf)
     n = docs.count()
     tf = cut(S.counts(docs, "doc", S.ngrams(S.word_list(F.col("title"), 3, STOP))))
@@ -219,13 +212,13 @@ def ordered_string_agg(spark, sf):
     return topics.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda s: s["term"]), "; ").alias("terms"))
 
 
-_WORDS = lambda col, least: f"regexp_extract_all(lower(coalesce({col}, '')), '[a-z]{{{least},}}')"
+_WORDS = lambda col, least: f"regexp_extract_all(lower(coalesce({col}, '')), '\\p{{L}}{{{least},}}')"
 _STOPS = "(" + ", ".join(f"'{s}'" for s in STOP) + ")"
 _D = f"WITH {PAPERS_CTE}, d AS (SELECT paper_id AS doc, title, coalesce(export_batch, 0) AS label FROM papers)"
 _TF = f"""{_D}, w AS (SELECT doc, label, list_filter({_WORDS('title', 3)}, lambda x: x NOT IN {_STOPS}) AS w FROM d),
 g AS (SELECT doc, unnest(w) AS term FROM w UNION ALL SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) >= 2),
 tf AS (SELECT doc, term, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM d),
-v AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS uses FROM tf GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= (SELECT n FROM n) * 0.42::DOUBLE ORDER BY uses DESC, term LIMIT 2000),
+v AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS uses FROM tf GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= (SELECT n FROM n) * 0.42::DOUBLE ORDER BY uses DESC, term LIMIT 40000),
 raw AS (SELECT doc, term, (1.0::DOUBLE + ln(tf::DOUBLE)) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w FROM tf JOIN v USING (term) CROSS JOIN n),
 wt AS (SELECT doc, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS w FROM raw)
 """
@@ -239,7 +232,7 @@ pp AS (SELECT pr.*, coalesce(both_n, 0) AS both_n, dx.df AS dx, dy.df AS dy, n F
 _LIN = lambda at: f"(CASE WHEN c{at} <= 0.04045 THEN c{at} / 12.92::DOUBLE ELSE pow((c{at} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END)"
 
 QUERIES = {f.__name__: f for f in (
-    clean_text, clean_text_plain, clean_date, key_extraction, default_records, document_texts, year_period_buckets, type_codes, config_keys, dedupe_keep_longest, record_chunks, singular_forms, token_edits, token_edits_all,
+    clean_text, clean_text_plain, clean_date, key_extraction, default_records, document_texts, year_period_buckets, type_codes, config_keys, dedupe_keep_longest, record_chunks, singular_forms, token_edits,
     phrase_rows, surnames, search_forms, colour_contrast, neighbour_counts, json_fields, tokens_inverted_index, vocabulary_bounds, tfidf_weights, tfidf_centroid_quality, tfidf_train_only, tfidf_terms_by_class, npmi_smoothed, npmi_strict,
     topic_diversity, term_exclusivity, topic_distribution, ordered_string_agg,
 )}
@@ -256,7 +249,7 @@ SQL = {
     "record_chunks": "SELECT DISTINCT paper_idx, paper_idx // 200 AS chunk FROM search_rows",
     "singular_forms": f"""SELECT token, CASE WHEN length(token) >= 5 AND token LIKE '%ies' THEN left(token, length(token) - 3) || 'y' WHEN length(token) >= 5 AND regexp_matches(token, '(sses|shes|ches|xes|zes)$') THEN left(token, length(token) - 2)
  WHEN length(token) >= 4 AND token LIKE '%s' AND NOT regexp_matches(token, '(ss|us|is|ics)$') THEN left(token, length(token) - 1) ELSE token END AS single FROM (SELECT DISTINCT unnest({_WORDS('title', 3)}) AS token FROM search_rows)""",
-    "token_edits": f"WITH w AS (SELECT DISTINCT unnest({_WORDS('title', 5)}) AS t FROM search_rows) SELECT a.t AS a, b.t AS b FROM w a JOIN w b ON substr(a.t, 1, 2) = substr(b.t, 1, 2) AND a.t < b.t AND abs(length(a.t) - length(b.t)) <= 1 WHERE damerau_levenshtein(a.t, b.t) <= 1",
+    "token_edits": f"WITH w AS (SELECT DISTINCT unnest({_WORDS('title', 5)}) AS t FROM search_rows) SELECT a.t AS a, b.t AS b FROM w a JOIN w b ON a.t < b.t AND abs(length(a.t) - length(b.t)) <= 1 WHERE damerau_levenshtein(a.t, b.t) <= 1",
     "phrase_rows": "SELECT DISTINCT paper_idx FROM search_rows WHERE ' ' || lower(title) || ' ' LIKE '% moral luck %'",
     "colour_contrast": f"""WITH x AS (SELECT p_partkey, '#' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 6) AS colour FROM part),
  y AS (SELECT *, CAST('0x' || substr(colour, 2, 2) AS INT) / 255.0::DOUBLE AS c1, CAST('0x' || substr(colour, 4, 2) AS INT) / 255.0::DOUBLE AS c2, CAST('0x' || substr(colour, 6, 2) AS INT) / 255.0::DOUBLE AS c3 FROM x),

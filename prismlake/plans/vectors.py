@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import vectors as V
+from ..session import cut
 from ..tables import table
 
 K = 5
@@ -98,57 +99,34 @@ def knn_purity_micro_macro(spark, sf):
 
 
 def permutation_null(spark, sf):
-    """Purity under ten permutations that keep label sizes: mean, sd, z and the empirical p. Hash streams have no SQL twin."""
+    """Purity under a hundred permutations that keep label sizes: mean, sd, z and the empirical p. Hash streams have no SQL
+    twin."""
     labels = _e(spark, sf).select(F.col("vec_id").alias("id"), "label")
-    n = V.knn(_e(spark, sf), _queries(spark, sf), K)
-    runs = None
-    for r in range(10):
-        one = V.purity(n, V.permuted(labels, r)).agg(F.avg("purity").alias("x")).select(F.lit(r).alias("repeat"), "x")
-        runs = one if runs is None else runs.unionAll(one)
-    seen = _purity(spark, sf).agg(F.avg("purity").alias("seen"))
-    s = runs.crossJoin(seen).groupBy("seen").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count_if(F.col("x") >= F.col("seen")).alias("above"), F.count("*").alias("n"))
+    n = cut(V.knn(_e(spark, sf), _queries(spark, sf), K))
+    seen = V.purity(n, labels).agg(F.avg("purity").alias("seen"))
+    s = V.null_purity(n, labels, 100).crossJoin(seen).groupBy("seen").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count_if(F.col("x") >= F.col("seen")).alias("above"), F.count("*").alias("n"))
     return s.select(F.round("seen", 6).alias("seen"), F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(F.try_divide(F.col("seen") - F.col("mean"), F.col("sd")), 6).alias("z"), ((1 + F.col("above")) / (1 + F.col("n"))).alias("p"))
 
 
-def _sample(spark, sf):
-    return _e(spark, sf).where("vec_id % 5 = 0").select("vec_id", "label", "embedding", F.slice("embedding", 1, 3).alias("shown"))
+def _whole(spark, sf):
+    return _e(spark, sf).select("vec_id", "label", "embedding", F.slice("embedding", 1, 3).alias("shown"))
 
 
 def silhouette(spark, sf):
-    s = V.silhouette(_sample(spark, sf), "vec_id", "embedding", "label")
+    s = V.silhouette(_whole(spark, sf), "vec_id", "embedding", "label")
     return s.groupBy("label").agg(F.round(F.avg("silhouette"), 6).alias("silhouette"), F.count("*").alias("n"))
 
 
 def trustworthiness(spark, sf):
-    return V.trustworthiness(_sample(spark, sf), "vec_id", "embedding", "shown", K).select(F.round("trustworthiness", 6).alias("trustworthiness"), "n")
+    return V.trustworthiness(_whole(spark, sf), "vec_id", "embedding", "shown", K).select(F.round("trustworthiness", 6).alias("trustworthiness"), "n")
 
 
 def distance_spearman(spark, sf):
-    s = _sample(spark, sf)
-    a, b = s.select(F.col("vec_id").alias("x"), F.col("embedding").alias("ex"), F.col("shown").alias("sx")), s.select(F.col("vec_id").alias("y"), F.col("embedding").alias("ey"), F.col("shown").alias("sy"))
-    d = a.join(b, (F.col("y") - F.col("x")).isin(5, 10, 15)).select(F.round(V.squared_distance(F.col("ex"), F.col("ey")), 6).alias("d"), F.round(V.squared_distance(F.col("sx"), F.col("sy")), 6).alias("e"))
-    return V.spearman(d, "d", "e").select(F.round("rho", 6).alias("rho"))
-
-
-def _whole(spark, sf):
-    return _e(spark, sf).select("vec_id", "label", "embedding", F.slice("embedding", 1, 3).alias("shown"))
-
-
-def silhouette_whole(spark, sf):
-    """Of all rows; silhouette, trustworthiness and distance_spearman take every fifth id, as their SQL does."""
-    s = V.silhouette_whole(_whole(spark, sf), "vec_id", "embedding", "label")
-    return s.groupBy("label").agg(F.round(F.avg("silhouette"), 6).alias("silhouette"), F.count("*").alias("n"))
-
-
-def trustworthiness_whole(spark, sf):
-    return V.trustworthiness_whole(_whole(spark, sf), "vec_id", "embedding", "shown", K).select(F.round("trustworthiness", 6).alias("trustworthiness"), "n")
-
-
-def distance_spearman_whole(spark, sf):
-    """Over 100,000 random pairs of all rows. Hash streams have no SQL twin."""
+    """Over 100,000 random pairs of all rows."""
     return V.spearman(V.pair_distances(_whole(spark, sf), "vec_id", "embedding", "shown", 100_000, "spearman"), "d", "e").select(F.round("rho", 6).alias("rho"))
 
 
+
 def projection_agreement(spark, sf):
     """Mean neighbour overlap of all rows over all pairs of three projections (dimension triples)."""
     e = _e(spark, sf)
@@ -188,7 +166,7 @@ _PUR = _KNN + ", pu AS (SELECT query, o.label, avg(CASE WHEN o.label = n.label T
 
 QUERIES = {f.__name__: f for f in (
     normalised_vectors, knn_exact, knn_euclidean, knn_approximate, knn_recall_self, without_self, neighbour_overlap, cluster_centroids, centroid_assign, centroid_margin, centroid_accuracy, representatives_top10,
-    knn_purity_micro_macro, permutation_null, silhouette, trustworthiness, distance_spearman, silhouette_whole, trustworthiness_whole, distance_spearman_whole, projection_agreement, shape_balance, array_differences,
+    knn_purity_micro_macro, permutation_null, silhouette, trustworthiness, distance_spearman, projection_agreement, shape_balance, array_differences,
 )}
 SQL = {
     "normalised_vectors": _N + " SELECT vec_id, round(sqrt(list_dot_product(u, u)), 6) AS norm, round(u[1], 6) AS first FROM u",
@@ -202,12 +180,14 @@ SQL = {
     "centroid_accuracy": _CENT + " SELECT own, round(avg(CASE WHEN own = nearest THEN 1.0 ELSE 0.0 END::DOUBLE), 6) AS accuracy, round(avg(own_score), 6) AS cohesion, round(avg(own_score - other_score), 6) AS margin FROM nc GROUP BY 1",
     "representatives_top10": _CENT + " SELECT own AS label, place, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS place FROM sc WHERE own = centroid AND own >= 0) WHERE place <= 10",
     "knn_purity_micro_macro": _PUR + " SELECT (SELECT round(avg(purity), 6) FROM pu) AS micro, (SELECT round(avg(p), 6) FROM (SELECT avg(purity) AS p FROM pu GROUP BY label)) AS macro",
-    "silhouette": _N + f""", s AS (SELECT * FROM e WHERE vec_id % 5 = 0), d AS (SELECT a.vec_id AS x, a.label AS lx, b.label AS ly, avg(sqrt({_D2('a.v', 'b.v')})) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY ALL),
+    "silhouette": _N + f""", s AS (SELECT * FROM e), d AS (SELECT a.vec_id AS x, a.label AS lx, b.label AS ly, avg(sqrt({_D2('a.v', 'b.v')})) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY ALL),
  m AS (SELECT x, lx, max(d) FILTER (lx = ly) AS a, min(d) FILTER (lx <> ly) AS b FROM d GROUP BY ALL) SELECT lx AS label, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM m GROUP BY 1""",
-    "trustworthiness": _N + f""", s AS (SELECT vec_id, v, v[1:3] AS t FROM e WHERE vec_id % 5 = 0), d AS (SELECT a.vec_id AS x, b.vec_id AS y, round({_D2('a.v', 'b.v')}, 9) AS ds, round({_D2('a.t', 'b.t')}, 9) AS dt FROM s a JOIN s b ON a.vec_id <> b.vec_id),
+    "trustworthiness": _N + f""", s AS (SELECT vec_id, v, v[1:3] AS t FROM e), d AS (SELECT a.vec_id AS x, b.vec_id AS y, round({_D2('a.v', 'b.v')}, 9) AS ds, round({_D2('a.t', 'b.t')}, 9) AS dt FROM s a JOIN s b ON a.vec_id <> b.vec_id),
  r AS (SELECT x, row_number() OVER (PARTITION BY x ORDER BY ds, y) AS rs, row_number() OVER (PARTITION BY x ORDER BY dt, y) AS rt FROM d), n AS (SELECT count(*)::DOUBLE AS n FROM s)
  SELECT round(1.0::DOUBLE - 2.0::DOUBLE * sum(CASE WHEN rt <= {K} AND rs > {K} THEN rs - {K} ELSE 0 END) / (any_value(n) * {K} * (2.0::DOUBLE * any_value(n) - 3.0::DOUBLE * {K} - 1.0::DOUBLE)), 6) AS trustworthiness, CAST(any_value(n) AS BIGINT) AS n FROM r CROSS JOIN n""",
-    "distance_spearman": _N + f""", s AS (SELECT vec_id, v, v[1:3] AS t FROM e WHERE vec_id % 5 = 0), d AS (SELECT round({_D2('a.v', 'b.v')}, 6) AS d, round({_D2('a.t', 'b.t')}, 6) AS e FROM s a JOIN s b ON b.vec_id - a.vec_id IN (5, 10, 15)),
+    "distance_spearman": _N + f""", s AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS number, v, v[1:3] AS t FROM e), c AS (SELECT count(*) AS n FROM s),
+ q AS (SELECT CAST('0x' || substr(sha256('spearman:l:' || i), 1, 13) AS BIGINT) % c.n AS l, CAST('0x' || substr(sha256('spearman:r:' || i), 1, 13) AS BIGINT) % c.n AS r FROM range(100000) t(i) CROSS JOIN c),
+ d AS (SELECT round({_D2('a.v', 'b.v')}, 6) AS d, round({_D2('a.t', 'b.t')}, 6) AS e FROM q JOIN s a ON a.number = q.l JOIN s b ON b.number = q.r WHERE q.l <> q.r),
  r AS (SELECT rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2.0::DOUBLE AS ry FROM d) SELECT round(corr(rx, ry), 6) AS rho FROM r""",
     "array_differences": """WITH e AS (SELECT generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), d AS (SELECT x, x * 0.5::DOUBLE + i * 0.001::DOUBLE AS y FROM e)
  SELECT round(corr(x, y), 6) AS correlation, round(avg(abs(x - y)), 6) AS mean_difference, round(max(abs(x - y)), 6) AS max_difference FROM d""",

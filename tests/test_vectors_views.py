@@ -91,12 +91,26 @@ def test_projection_quality_of_all_rows(spark, monkeypatch, tmp_path):
     df.write.parquet(str(tmp_path / "embeddings.parquet"))
     rows = df.withColumn("shown", F.slice("embedding", 1, 3)).repartition(3)
     monkeypatch.setattr(V, "BLOCK_ROWS", 150)
-    values = lambda d: {r["vec_id"]: (r["label"], round(r["silhouette"], 5)) for r in d.collect()}
-    assert values(V.silhouette_whole(rows, "vec_id", "embedding", "label")) == values(V.silhouette(rows, "vec_id", "embedding", "label"))
-    want = V.trustworthiness(rows, "vec_id", "embedding", "shown", 5).first()
-    assert tuple(V.trustworthiness_whole(rows, "vec_id", "embedding", "shown", 5).first()) == pytest.approx(tuple(want))
-    assert sum(r["n"] for r in Q.silhouette_whole(spark, str(tmp_path)).collect()) == Q.trustworthiness_whole(spark, str(tmp_path)).first()["n"] == 60
-    assert Q.distance_spearman_whole(spark, str(tmp_path)).first()["rho"] > 0
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], dtype=float)
+    lab = np.array([r["label"] for r in df.orderBy("vec_id").collect()])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    mean = lambda i, l: d[i, (lab == l) & (np.arange(60) != i)].mean()
+    want = []
+    for i in range(60):
+        a, b = mean(i, lab[i]), min(mean(i, l) for l in set(lab) - {lab[i]})
+        want.append((b - a) / max(a, b))
+    got = [r["silhouette"] for r in V.silhouette(rows, "vec_id", "embedding", "label").orderBy("vec_id").collect()]
+    assert got == pytest.approx(want, abs=1e-6)
+    np.fill_diagonal(d, -1)
+    source = d.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")  # rank of every other row, its own 0
+    shown = np.sqrt(((x[:, None, :3] - x[None, :, :3]) ** 2).sum(-1))
+    np.fill_diagonal(shown, -1)
+    near = shown.argsort(axis=1, kind="stable")[:, 1:6]
+    penalty = np.maximum(np.take_along_axis(source, near, axis=1) - 5, 0).sum()
+    r = V.trustworthiness(rows, "vec_id", "embedding", "shown", 5).first()
+    assert r["n"] == 60 and r["trustworthiness"] == pytest.approx(1 - 2 * penalty / (60 * 5 * (120 - 15 - 1)))
+    assert sum(r["n"] for r in Q.silhouette(spark, str(tmp_path)).collect()) == Q.trustworthiness(spark, str(tmp_path)).first()["n"] == 60
+    assert Q.distance_spearman(spark, str(tmp_path)).first()["rho"] > 0
     assert Q.projection_agreement(spark, str(tmp_path)).first()["agreement"] > 0
 
 
@@ -110,11 +124,16 @@ def test_npmi_order(spark):
 
 
 def test_permutation_keeps_sizes(spark):
-    l = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, label int")
-    a, b = V.permuted(l, 0), V.permuted(l, 1)
-    count = lambda d: sorted(map(tuple, d.groupBy("label").count().collect()))
-    assert count(a) == count(b) == count(l)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, V.permuted(l.repartition(5), 0).collect())) != sorted(map(tuple, b.collect()))
+    l = spark.createDataFrame([(i, i % 3) for i in range(40)], "id long, label int")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    a = rows(V.permuted(l, 3))
+    for r in range(3):
+        assert sorted(x for k, _, x in a if k == r) == sorted(i % 3 for i in range(40)) and [i for k, i, _ in a if k == r] == list(range(40))
+    assert a == rows(V.permuted(l.repartition(5), 3)) and [x for k, _, x in a if k == 0] != [x for k, _, x in a if k == 1]
+    n = spark.createDataFrame([(q, (q + d) % 40) for q in range(40) for d in (1, 2, 5)], "query long, neighbour long")
+    of = {(k, i): x for k, i, x in a}
+    got = {r["repeat"]: r["x"] for r in V.null_purity(n, l, 3).collect()}
+    assert got == {k: pytest.approx(np.mean([of[k, q] == of[k, (q + d) % 40] for q in range(40) for d in (1, 2, 5)])) for k in range(3)}
 
 
 @settings(max_examples=30, deadline=None)
