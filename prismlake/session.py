@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,17 @@ def cut(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
         delete_on_exit(df.sparkSession, sc._jsc.sc().getCheckpointDir().get())
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cut the lineage with a compressed table in the shared folder, for large rows that are read several times: the table
+    and its folder. It is deleted when the JVM ends, or by drop()."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    delete_on_exit(df.sparkSession, path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
