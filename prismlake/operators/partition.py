@@ -171,6 +171,19 @@ def cluster_summary(labels: DataFrame) -> DataFrame:
     return total.crossJoin(inner).withColumn("noise_pct", 100.0 * F.col("noise_count") / F.col("papers")).withColumn("coverage", 1.0 - F.col("noise_count") / F.col("papers"))
 
 
+def membership_summary(members: DataFrame, persistence: DataFrame) -> DataFrame:
+    """One row: mean and median membership of the assigned rows, and mean, median and size-weighted persistence of the
+    clusters; 0 where nothing is assigned. members: (label, membership); persistence: (label, persistence)."""
+    own = members.where(f"label <> {NOISE}")
+    m = own.agg(F.coalesce(F.avg("membership"), F.lit(0.0)).alias("membership_mean"), F.coalesce(F.percentile("membership", 0.5), F.lit(0.0)).alias("membership_median"))
+    sizes = own.groupBy("label").agg(F.count("*").alias("s")).join(persistence, "label")
+    p = sizes.agg(
+        F.coalesce(F.avg("persistence"), F.lit(0.0)).alias("persistence_mean"), F.coalesce(F.percentile("persistence", 0.5), F.lit(0.0)).alias("persistence_median"),
+        F.coalesce(F.try_divide(F.sum(F.col("s") * F.col("persistence")), F.sum("s")), F.lit(0.0)).alias("persistence_weighted"),
+    )
+    return m.crossJoin(p)
+
+
 def _front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The rows (k, o) that no other row seen here beats: as good in every objective and better in one."""
     kept = pd.DataFrame({"k": [], "o": []})

@@ -98,10 +98,13 @@ def distribution_summary(docs: DataFrame, p: str, k: int) -> DataFrame:
     return d.agg(F.avg("top").alias("mean_top"), F.avg("h").alias("mean_entropy")).crossJoin(usage)
 
 
-def inverted_index(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(token, postings, df)."""
+def inverted_index(rows: DataFrame, key: str, tokens: Column, span: int = 1 << 20) -> DataFrame:
+    """(token, part, postings, df): the rows of a token in order, in parts by row number div `span`, so that no list grows
+    with the collection; df counts all parts."""
     each = rows.select(F.col(key).alias("row"), F.explode(F.array_distinct(tokens)).alias("token"))
-    return each.groupBy("token").agg(F.array_sort(F.collect_list("row")).alias("postings"), F.count("*").alias("df"))
+    parts = each.groupBy("token", F.floor(F.col("row") / span).alias("part")).agg(F.array_sort(F.collect_list("row")).alias("postings"))
+    df = parts.groupBy("token").agg(F.sum(F.size("postings")).alias("df"))
+    return parts.join(df, "token")
 
 
 def term_centroids(weights: DataFrame, labels: DataFrame) -> DataFrame:

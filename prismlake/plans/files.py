@@ -56,7 +56,15 @@ def roundtrip_shards(spark, sf):
     p = _path(spark)
     s = table(spark, sf, "search_rows").groupBy("paper_idx").agg(F.max("title").alias("title"))
     K.shards(s, p)
-    return spark.read.parquet(p).where("chunk = 2").select("paper_idx", "title", F.col("chunk").cast("int").alias("chunk"))
+    return K.shard(spark, p, 2).select("paper_idx", "title", F.col("chunk").cast("int").alias("chunk"))
+
+
+def neighbour_bytes(spark, sf):
+    """Three made-up neighbours of every vector, packed in shards of 200 and read back."""
+    p = _path(spark)
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("paper_idx"), F.array(*[(F.col("vec_id") * 7 + i * 70001) for i in range(3)]).alias("n"))
+    K.neighbour_shards(e, p, 3)
+    return spark.read.parquet(p).select("chunk", "first", F.hex("packed").alias("packed"))
 
 
 def uint24_bytes(spark, sf):
@@ -88,7 +96,7 @@ def key_lookup(spark, sf):
     return R.lookup(table(spark, sf, "nation"), {"n_name": "FRANCE"}) if table(spark, sf, "nation").where("n_name = 'FRANCE'").head(1) else R.lookup(table(spark, sf, "nation"), {"n_nationkey": 6})
 
 
-QUERIES = {f.__name__: f for f in (roundtrip_csv, roundtrip_json, roundtrip_lines, roundtrip_positional, roundtrip_labels, roundtrip_shards, uint24_bytes, compact_json, corpus_fingerprint, row_digests, file_manifest, key_lookup)}
+QUERIES = {f.__name__: f for f in (roundtrip_csv, roundtrip_json, roundtrip_lines, roundtrip_positional, roundtrip_labels, roundtrip_shards, neighbour_bytes, uint24_bytes, compact_json, corpus_fingerprint, row_digests, file_manifest, key_lookup)}
 SQL = {
     "roundtrip_csv": "SELECT * FROM subject_areas",
     "roundtrip_json": "SELECT * FROM nation",
@@ -96,6 +104,8 @@ SQL = {
     "roundtrip_positional": "SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS ordinal, CAST(r_regionkey AS VARCHAR) AS regionkey, r_name AS name FROM region",
     "roundtrip_labels": "SELECT vec_id AS paper_idx, label FROM embeddings",
     "roundtrip_shards": "SELECT paper_idx, max(title) AS title, 2 AS chunk FROM search_rows WHERE paper_idx // 200 = 2 GROUP BY 1",
+    "neighbour_bytes": """WITH n AS (SELECT vec_id, i, vec_id * 7 + i * 70001 AS x FROM embeddings CROSS JOIN range(3) t(i))
+ SELECT vec_id // 200 AS chunk, vec_id // 200 * 200 AS first, string_agg(lpad(to_hex(x & 255), 2, '0') || lpad(to_hex((x >> 8) & 255), 2, '0') || lpad(to_hex((x >> 16) & 255), 2, '0'), '' ORDER BY vec_id, i) AS packed FROM n GROUP BY 1, 2""",
     "uint24_bytes": "SELECT o_orderkey, " + " || ".join(f"lpad(to_hex(({c} >> {s}) & 255), 2, '0')" for c in ("o_orderkey", "o_custkey") for s in (0, 8, 16)) + " AS packed FROM orders",
     "compact_json": "SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS document FROM region",
     "corpus_fingerprint": """WITH r AS (SELECT paper_idx AS k, sha256(CAST(paper_idx AS VARCHAR) || '|' || coalesce(max(abstract), '')) AS d FROM detail_rows GROUP BY 1),

@@ -69,6 +69,13 @@ def cluster_summary(spark, sf):
     return s.select("papers", "cluster_count", "noise_count", F.round("noise_pct", 6).alias("noise_pct"), F.round("coverage", 9).alias("coverage"), "size_min", "size_median", "size_max", F.round("size_gini", 9).alias("size_gini"))
 
 
+def membership_summary(spark, sf):
+    """Membership from the first place of a vector, persistence from its mean in the cluster."""
+    e = table(spark, sf, "embeddings").join(_labels(spark, sf).select("vec_id", F.col("a").alias("own")), "vec_id").select(F.col("own").alias("label"), F.round(F.abs(F.col("embedding")[0].cast("double")), 6).alias("membership"))
+    s = P.membership_summary(e, e.where("label <> -1").groupBy("label").agg(F.round(F.avg("membership"), 6).alias("persistence")))
+    return s.select(*[F.round(c, 6).alias(c) for c in s.columns])
+
+
 def partition_filter(spark, sf):
     """Sources whose number of documents in a year lies in the range of usable cluster counts."""
     d = table(spark, sf, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count_distinct("pub_year").alias("k"))
@@ -167,7 +174,7 @@ x AS (SELECT run, avg(ari) AS x FROM r GROUP BY 1), p AS (SELECT l.run AS left_r
 
 QUERIES = {f.__name__: f for f in (
     contingency_noise, cluster_overlap_edges, best_match_jaccard, modal_overlap, partition_ari, partition_ari_assigned, partition_ami, mapped_agreement, optimal_mapping,
-    jaccard_summary, cluster_summary, partition_filter, run_summary, percentile_interval, stability_bands, cluster_stability, resampling_summary, run_pairs, medoid_run, per_paper_agreement, consensus, pareto_front,
+    jaccard_summary, cluster_summary, membership_summary, partition_filter, run_summary, percentile_interval, stability_bands, cluster_stability, resampling_summary, run_pairs, medoid_run, per_paper_agreement, consensus, pareto_front,
 )}
 SQL = {
     "contingency_noise": _L + "SELECT * FROM t",
@@ -186,6 +193,9 @@ SELECT (SELECT count(*) FROM e) AS papers, (SELECT count(*) FROM k) AS cluster_c
     "run_summary": _R + """SELECT dimension, quantile_cont(clusters, 0.5) AS clusters_median, min(clusters) AS clusters_min, max(clusters) AS clusters_max, round(avg(ari), 6) AS ari_mean, round(quantile_cont(ari, 0.5), 6) AS ari_median,
  round(min(ari), 6) AS ari_min, round(quantile_cont(noise_pct, 0.1), 6) AS noise_q10, round(quantile_cont(noise_pct, 0.9), 6) AS noise_q90 FROM r GROUP BY 1""",
     "percentile_interval": _R + "SELECT dimension, round(quantile_cont(ari, 0.025), 6) AS low, round(quantile_cont(ari, 0.975), 6) AS high FROM r GROUP BY 1",
+    "membership_summary": """WITH e AS (SELECT label, round(abs(embedding[1]::DOUBLE), 6) AS m FROM embeddings WHERE vec_id % 11 <> 0), p AS (SELECT label, count(*) AS s, round(avg(m), 6) AS p FROM e GROUP BY 1)
+ SELECT (SELECT round(avg(m), 6) FROM e) AS membership_mean, (SELECT round(median(m), 6) FROM e) AS membership_median, (SELECT round(avg(p), 6) FROM p) AS persistence_mean,
+ (SELECT round(median(p), 6) FROM p) AS persistence_median, (SELECT round(sum(s * p) / sum(s), 6) FROM p) AS persistence_weighted""",
     "cluster_stability": """WITH c AS (SELECT run, label AS a, CASE WHEN vec_id % (run + 4) = 0 THEN -1 WHEN vec_id % run = 0 THEN (label + 1) % 10 ELSE label END AS b, count(*) AS n FROM embeddings CROSS JOIN (VALUES (2), (3), (5), (8)) r(run) GROUP BY ALL),
  j AS (SELECT run, a, b, n::DOUBLE / (sum(n) OVER (PARTITION BY run, a) + sum(n) OVER (PARTITION BY run, b) - n) AS j, sum(n) OVER (PARTITION BY run, a) AS size FROM c),
  m AS (SELECT run, a, max(size) AS size, coalesce(max(j) FILTER (b <> -1), 0) AS j FROM j WHERE a <> -1 GROUP BY ALL),

@@ -125,7 +125,7 @@ def _docs(spark, sf):
 def tokens_inverted_index(spark, sf):
     s = table(spark, sf, "search_rows").groupBy("paper_idx").agg(F.max("title").alias("title"))
     i = S.inverted_index(s, "paper_idx", S.word_list(F.col("title"), 4))
-    return i.select("token", F.concat_ws(",", F.transform("postings", lambda x: x.cast("string"))).alias("postings"), "df")
+    return i.select("token", "part", F.concat_ws(",", F.transform("postings", lambda x: x.cast("string"))).alias("postings"), "df")
 
 
 def _terms(spark, sf, min_df=5, max_df=0.42, features=40_000):
@@ -259,7 +259,7 @@ SQL = {
  round(1.9779984951::DOUBLE * l - 2.4285922050::DOUBLE * m + 0.4505937099::DOUBLE * s, 6) AS ok_a, round(0.0259040371::DOUBLE * l + 0.7827717662::DOUBLE * m - 0.8086757660::DOUBLE * s, 6) AS ok_b FROM q""",
     "neighbour_counts": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 1 THEN greatest(1, least(50, p_partkey)) ELSE 1 END AS INT) AS k FROM part",
     "json_fields": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, coalesce(json_extract_string(props, '$.none'), '') AS none FROM events",
-    "tokens_inverted_index": f"WITH s AS (SELECT paper_idx, max(title) AS title FROM search_rows GROUP BY 1), t AS (SELECT DISTINCT paper_idx, unnest({_WORDS('title', 4)}) AS token FROM s) SELECT token, string_agg(CAST(paper_idx AS VARCHAR), ',' ORDER BY paper_idx) AS postings, count(*) AS df FROM t GROUP BY 1",
+    "tokens_inverted_index": f"WITH s AS (SELECT paper_idx, max(title) AS title FROM search_rows GROUP BY 1), t AS (SELECT DISTINCT paper_idx, unnest({_WORDS('title', 4)}) AS token FROM s) SELECT token, paper_idx // 1048576 AS part, string_agg(CAST(paper_idx AS VARCHAR), ',' ORDER BY paper_idx) AS postings, CAST(sum(count(*)) OVER (PARTITION BY token) AS BIGINT) AS df FROM t GROUP BY 1, 2",
     "vocabulary_bounds": _TF + "SELECT term, df, uses FROM v",
     "tfidf_weights": _TF + "SELECT doc, term, round(w, 8) AS w FROM wt",
     "tfidf_centroid_quality": _TF + """, h AS (SELECT doc, label, CAST('0x' || substr(md5(doc), 1, 2) AS INT) < 64 AS held FROM d),

@@ -44,10 +44,33 @@ def labels(df: DataFrame, path: str, count: int, key: str = "paper_idx", label:
     (out.partitionBy("lens_id") if "lens_id" in df.columns else out).parquet(path)
 
 
+#: Shards that lie in one folder; a folder each would be millions of folders.
+SHARDS_A_FOLDER = 5000
+
+
 def shards(df: DataFrame, path: str, key: str = "paper_idx", size: int = 200) -> None:
-    """Rows partitioned by `key` div `size`, in order inside each shard; readers prune by chunk."""
-    out = df.withColumn("chunk", F.floor(F.col(key) / size).cast("int"))
-    out.repartitionByRange("chunk").sortWithinPartitions("chunk", key).write.partitionBy("chunk").mode("overwrite").parquet(path)
+    """Rows with their shard, chunk = `key` div `size`, in order of chunk and key. Folders hold SHARDS_A_FOLDER shards, so a
+    reader of one (see shard) opens one folder and, by the statistics of its row groups, few of its rows."""
+    out = df.withColumn("chunk", F.floor(F.col(key) / size).cast("long")).withColumn("folder", F.floor(F.col("chunk") / SHARDS_A_FOLDER).cast("int"))
+    out.repartitionByRange("chunk").sortWithinPartitions("folder", "chunk", key).write.partitionBy("folder").mode("overwrite").parquet(path)
+
+
+def shard(spark, path: str, chunk: int) -> DataFrame:
+    """The rows of one shard."""
+    return spark.read.parquet(path).where((F.col("folder") == chunk // SHARDS_A_FOLDER) & (F.col("chunk") == chunk)).drop("folder")
+
+
+def neighbour_shards(neighbours: DataFrame, path: str, k: int, size: int = 200) -> None:
+    """Neighbour lists packed into three bytes a number, a row per shard of `size` papers: (chunk, first, packed).
+    neighbours: (paper_idx, n ARRAY). Raises if a list hasn't k members, a paper is there twice, or one is missing before
+    the last; what the folder held before, expected or not, is replaced."""
+    bad = neighbours.agg(F.count("*").alias("n"), F.count_distinct("paper_idx").alias("m"), F.max("paper_idx").alias("last"), F.count_if(F.coalesce(F.size("n"), F.lit(-1)) != k).alias("short")).first()
+    if bad["short"] or bad["n"] != bad["m"] or bad["n"] and bad["n"] != bad["last"] + 1:
+        raise ValueError(f"{bad['n']} lists of {bad['m']} papers up to {bad['last']}, {bad['short']} not of {k} numbers")
+    one = neighbours.select(F.floor(F.col("paper_idx") / size).cast("long").alias("chunk"), F.struct("paper_idx", "n").alias("r"))
+    rows = one.groupBy("chunk").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # at most `size` lists of k numbers
+    packed = rows.select("chunk", (F.col("chunk") * size).alias("first"), uint24(F.flatten(F.transform("rs", lambda r: r["n"]))).alias("packed"))
+    packed.repartitionByRange("chunk").write.mode("overwrite").parquet(path)
 
 
 def uint24(values: Column) -> Column:
