@@ -230,16 +230,17 @@ def parts_of(scores: np.ndarray, switch: float = SWITCH) -> list[tuple[int, int,
     total = scores.sum(axis=0)
     if n < 4 or (best == best[0]).all():
         return [(0, n, int(total.argmax()))]
+    # best[l]: the best value of a start two sentences or more back, less the language's sum up to there; one pass
     sums = np.concatenate([np.zeros((1, scores.shape[1])), scores.cumsum(axis=0)])
     value, back = np.full(n + 1, -np.inf), [None] * (n + 1)
     value[0] = switch
+    best, start = np.full(scores.shape[1], -np.inf), np.zeros(scores.shape[1], int)
     for j in range(2, n + 1):
-        i = np.arange(0, j - 1)
-        seg = sums[j] - sums[i]
-        lang = seg.argmax(axis=1)
-        v = value[i] + seg[i, lang] - switch
-        k = int(v.argmax())
-        value[j], back[j] = v[k], (k, int(lang[k]))
+        new = value[j - 2] - sums[j - 2]
+        better = new > best
+        best[better], start[better] = new[better], j - 2
+        l = int((best + sums[j]).argmax())
+        value[j], back[j] = best[l] + sums[j, l] - switch, (int(start[l]), l)
     out, j = [], n
     while j > 0:
         i, l = back[j]

@@ -48,6 +48,36 @@ def test_parts():
     assert L.parts_of(np.zeros((1, 2)), 8) == [(0, 1, 0)]
 
 
+def all_parts(scores, switch):
+    """The best value over all ways to cut into parts of two sentences or more."""
+    n = len(scores)
+    value = [switch] + [-np.inf] * n
+    for j in range(2, n + 1):
+        value[j] = max(value[i] + scores[i:j].sum(axis=0).max() - switch for i in range(j - 1))
+    return value[n]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_parts_are_the_best(seed):
+    rng = np.random.default_rng(seed)
+    n, k = int(rng.integers(4, 40)), int(rng.integers(2, 6))
+    scores = rng.normal(size=(n, k)) * 3 + 6 * np.eye(k)[np.sort(rng.integers(0, k, n))]
+    parts = L.parts_of(scores, 8.0)
+    assert [a for a, _, _ in parts] == [0] + [b for _, b, _ in parts[:-1]] and parts[-1][1] == n and all(b - a >= 2 for a, b, _ in parts)
+    if len(parts) > 1:
+        got = sum(scores[a:b, l].sum() for a, b, l in parts) - 8.0 * (len(parts) - 1)
+        assert got == pytest.approx(all_parts(scores, 8.0))
+    else:
+        assert scores.sum(axis=0).max() >= all_parts(scores, 8.0) - 1e-9 or (scores.argmax(axis=1) == scores.argmax(axis=1)[0]).all()
+
+
+def test_parts_of_a_book():
+    """The work grows with the sentences, not with their square."""
+    scores = np.zeros((40_000, 7))
+    scores[:25_000, 0] = scores[25_000:, 3] = 5.0
+    assert L.parts_of(scores, 8.0) == [(0, 25_000, 0), (25_000, 40_000, 3)]
+
+
 def test_sentences():
     assert L.split_sentences("One is. (Two) “is”. Es ist. 3 is") == ["One is.", "(Two) “is”.", "Es ist. 3 is"]
     assert L.split_sentences("   ") == []
