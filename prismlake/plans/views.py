@@ -85,18 +85,21 @@ def violations_overlap_colours(spark, sf):
 
 
 def violations_drift(spark, sf):
-    """Associations that differ from stored ones: none."""
-    from .base import lenses
-
-    o = A.overview(labels(spark, sf), lenses(spark))
-    return Q.value_drift(o, o.withColumn("v", F.round("v", 7)), ["left_id", "right_id"], "v", 5e-7)
+    """Means of lineitem kept with two digits against the means computed again: those further off than 0.004, and groups
+    that one side lacks."""
+    l = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.round(F.avg("l_quantity"), 6).alias("v"))
+    stored = l.where("l_suppkey % 5 <> 0 OR l_linenumber <> 7").withColumn("v", F.round("v", 2))
+    d = Q.value_drift(stored, l.where("l_suppkey % 7 <> 0 OR l_linenumber <> 1"), ["l_suppkey", "l_linenumber"], "v", 0.004)
+    return d.select("l_suppkey", "l_linenumber", F.round("stored", 6).alias("stored"), F.round("again", 6).alias("again"))
 
 
 def violations_neighbours(spark, sf):
-    """Neighbour rows broken on purpose: every problem is found."""
-    n = spark.range(40).select("id", F.when(F.col("id") == 3, F.array(F.lit(3), F.lit(4), F.lit(5))).when(F.col("id") == 5, F.array(F.lit(6), F.lit(6), F.lit(7))).when(F.col("id") == 7, F.array(F.lit(1))).when(F.col("id") == 9, F.array(F.lit(1), F.lit(2), F.lit(99)))
-                              .otherwise(F.array((F.col("id") + 1) % 40, (F.col("id") + 2) % 40, (F.col("id") + 3) % 40)).cast("array<bigint>").alias("n"))
-    return Q.neighbour_problems(n, "id", "n", 3, 40)
+    """Made-up neighbour lists of all vectors, many of them broken in one way or another."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    n = e.count()
+    i = F.col("id")
+    lists = F.when(i % 17 == 0, F.array((i + 1) % n, (i + 2) % n)).otherwise(F.array(i * 3 % (n + 5), (i + 7) % n, i * i % n))
+    return Q.neighbour_problems(e.withColumn("n", lists), "id", "n", 3, n)
 
 
 def violations_representatives(spark, sf):
@@ -137,7 +140,12 @@ SQL = {
     "violations_catalogue": f"WITH {LABELS_CTE} SELECT lens_id, label, count(*) + 1 AS listed, count(*) AS counted FROM labels WHERE lens_id = 'batch' AND label = 1 GROUP BY ALL",
     "violations_overlap_colours": """WITH e AS (SELECT label AS a, CASE WHEN vec_id % 9 = 0 THEN 0 ELSE label END AS b FROM embeddings), t AS (SELECT a, b, count(*) AS n FROM e GROUP BY ALL),
  j AS (SELECT a, b, n::DOUBLE / (sum(n) OVER (PARTITION BY a) + sum(n) OVER (PARTITION BY b) - n) AS j FROM t) SELECT a, b, '#111111' AS ca, '#222222' AS cb FROM j WHERE j >= 0.6 AND b = 3""",
-    "violations_drift": f"WITH {LABELS_CTE} SELECT lens_id AS left_id, lens_id AS right_id, 0.0::DOUBLE AS stored, 0.0::DOUBLE AS again FROM labels WHERE false",
-    "violations_neighbours": "SELECT * FROM (VALUES (3::BIGINT, 'self'), (5::BIGINT, 'repeat'), (7::BIGINT, 'count'), (9::BIGINT, 'range')) v(id, problem)",
+    "violations_drift": """WITH l AS (SELECT l_suppkey, l_linenumber, round(avg(l_quantity), 6) AS v FROM lineitem GROUP BY ALL),
+ j AS (SELECT l_suppkey, l_linenumber, s.v AS stored, a.v AS again FROM (SELECT l_suppkey, l_linenumber, round(v, 2) AS v FROM l WHERE l_suppkey % 5 <> 0 OR l_linenumber <> 7) s
+  FULL JOIN (SELECT * FROM l WHERE l_suppkey % 7 <> 0 OR l_linenumber <> 1) a USING (l_suppkey, l_linenumber))
+ SELECT l_suppkey, l_linenumber, round(stored, 6) AS stored, round(again, 6) AS again FROM j WHERE stored IS NULL OR again IS NULL OR abs(stored - again) > 0.004""",
+    "violations_neighbours": """WITH c AS (SELECT count(*) AS m FROM embeddings), e AS (SELECT vec_id AS id, m, CASE WHEN vec_id % 17 = 0 THEN [(vec_id + 1) % m, (vec_id + 2) % m] ELSE [vec_id * 3 % (m + 5), (vec_id + 7) % m, vec_id * vec_id % m] END AS n FROM embeddings CROSS JOIN c),
+ p AS (SELECT id, CASE WHEN len(n) <> 3 THEN 'count' WHEN list_contains(n, id) THEN 'self' WHEN len(list_distinct(n)) <> len(n) THEN 'repeat' WHEN len(list_filter(n, lambda x: x >= m)) > 0 THEN 'range' END AS problem FROM e)
+ SELECT id, problem FROM p WHERE problem IS NOT NULL""",
     "violations_representatives": "SELECT 3 AS label, 'member' AS problem WHERE (SELECT count(*) FROM embeddings WHERE label = 2) >= 4",
 }
