@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, keep
 from ..tables import table
 from . import names
 from .hot import hot_buckets, split_join
@@ -92,8 +92,8 @@ def name_weight():
 def keyed(rows: DataFrame, key: str, people: str) -> DataFrame:
     """rows (key, title, people, ...) without title, with tkey (the title's words), mains (words before a subtitle), who (the full words of
     each name), pieces and tops (each name's heaviest word); one row per key, the smallest, and none without words in the title.
-    They lie in hash partitions of the key, so later joins on the key move the other side only."""
-    keep = [c for c in rows.columns if c != "title"]
+    Kept as a table, as every rule reads it."""
+    columns = [c for c in rows.columns if c != "title"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -110,12 +110,11 @@ def keyed(rows: DataFrame, key: str, people: str) -> DataFrame:
                 out["who"].append([" ".join(x) for x in who])
                 out["pieces"].append(sorted(map(number, pieces(w))))
                 out["tops"].append(sorted({max(x, key=lambda y: (weight(y), y)) for x in who}))
-            yield pdf[keep].assign(**out)
+            yield pdf[columns].assign(**out)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in columns)
     found = rows.mapInPandas(run, f"{fields}, {KEYED}").where("tkey <> ''")
-    found = found.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    return cut(found.groupBy(key).agg(F.min(F.struct(*[c for c in found.columns if c != key])).alias("m")).select(key, "m.*"))
+    return keep(found.groupBy(key).agg(F.min(F.struct(*[c for c in found.columns if c != key])).alias("m")).select(key, "m.*"))[0]
 
 
 def title_relation(a: list[str], b: list[str]) -> int:
