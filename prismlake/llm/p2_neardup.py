@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, keep
 from ..tables import table
 
 THRESHOLD = 0.75
@@ -89,7 +89,7 @@ def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> tuple[D
     """records: (id, w ARRAY<INT> of distinct word hashes). Gives (members: id, rep) and (links: a, b, similarity),
     the links between representatives of different classes; members of one class have similarity 1."""
     keyed = records.where(F.size("w") > 0).select("id", F.sort_array("w").alias("w")).select("id", "w", F.xxhash64("w").alias("k"), F.size("w").alias("n"))
-    keyed = cut(keyed)
+    keyed = keep(keyed)[0]
     reps = keyed.groupBy("k", "n").agg(F.min("id").alias("rep"))
     members = keyed.select("id", "k", "n").join(reps, ["k", "n"]).select("id", "rep")
     # each record carries its own words, so a class's words come from the representative's row alone
