@@ -249,7 +249,12 @@ SQL = {
     "record_chunks": "SELECT DISTINCT paper_idx, paper_idx // 200 AS chunk FROM search_rows",
     "singular_forms": f"""SELECT token, CASE WHEN length(token) >= 5 AND token LIKE '%ies' THEN left(token, length(token) - 3) || 'y' WHEN length(token) >= 5 AND regexp_matches(token, '(sses|shes|ches|xes|zes)$') THEN left(token, length(token) - 2)
  WHEN length(token) >= 4 AND token LIKE '%s' AND NOT regexp_matches(token, '(ss|us|is|ics)$') THEN left(token, length(token) - 1) ELSE token END AS single FROM (SELECT DISTINCT unnest({_WORDS('title', 3)}) AS token FROM search_rows)""",
-    "token_edits": f"WITH w AS (SELECT DISTINCT unnest({_WORDS('title', 5)}) AS t FROM search_rows) SELECT a.t AS a, b.t AS b FROM w a JOIN w b ON a.t < b.t AND abs(length(a.t) - length(b.t)) <= 1 WHERE damerau_levenshtein(a.t, b.t) <= 1",
+    # by characters, as DuckDB's own edit distance counts bytes: one letter other in the same place, one less, or two swapped
+    "token_edits": f"""WITH w AS (SELECT DISTINCT unnest({_WORDS('title', 5)}) AS t FROM search_rows), d AS (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM w),
+ f AS (SELECT t, i, substr(t, 1, i - 1) || substr(t, i + 1) AS form, substr(t, 1, i - 1) || substr(t, i + 1, 1) || substr(t, i, 1) || substr(t, i + 2) AS swapped FROM d)
+ SELECT x.t AS a, y.t AS b FROM f x JOIN f y ON x.i = y.i AND x.form = y.form AND x.t < y.t
+ UNION SELECT least(f.t, w.t), greatest(f.t, w.t) FROM f JOIN w ON f.form = w.t
+ UNION SELECT least(f.t, w.t), greatest(f.t, w.t) FROM f JOIN w ON f.swapped = w.t AND f.t <> w.t""",
     "phrase_rows": "SELECT DISTINCT paper_idx FROM search_rows WHERE ' ' || lower(title) || ' ' LIKE '% moral luck %'",
     "colour_contrast": f"""WITH x AS (SELECT p_partkey, '#' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 6) AS colour FROM part),
  y AS (SELECT *, CAST('0x' || substr(colour, 2, 2) AS INT) / 255.0::DOUBLE AS c1, CAST('0x' || substr(colour, 4, 2) AS INT) / 255.0::DOUBLE AS c2, CAST('0x' || substr(colour, 6, 2) AS INT) / 255.0::DOUBLE AS c3 FROM x),
