@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import link_form
 from ..operators import linkage as L
 from ..operators import search as S
-from ..session import delete_on_exit, shared_dir
+from ..session import cut, delete_on_exit, shared_dir
 from ..tables import table
 
 QUERY = "moral luck"
@@ -87,9 +87,18 @@ def linkage_score(spark, sf):
 def linkage_scores(spark, sf):
     """Title ratio, author and year scored for each record and all works that share a title word, typed alike or nearly so."""
     p = _logged(spark, sf).select("record_id", "title", "creator", "source_year")
-    w = table(spark, sf, "candidate_works").dropDuplicates(["work_id"]).select("work_id", "candidate_title", "candidate_authors", "candidate_year")
-    words = lambda d, key, title, name: d.select(key, F.explode(F.array_distinct(F.split(link_form(F.col(title)), " "))).alias(name)).where(F.col(name) != "")
-    ids = L.sharing_words(words(p, "record_id", "title", "a"), words(w, "work_id", "candidate_title", "b"), "record_id", "work_id")
+    w = cut(table(spark, sf, "candidate_works").dropDuplicates(["work_id"]).select("work_id", "candidate_title", "candidate_authors", "candidate_year"))  # read twice
+    form = lambda title: F.filter(F.split(link_form(F.col(title)), " "), lambda x: x != "")
+    rows = p.where("record_id IS NOT NULL").select("record_id", link_form(F.col("title")).alias("form"), F.col("source_year").alias("year"), F.array(F.coalesce(L.surname(F.col("creator")), F.lit(""))).alias("people"), form("title").alias("words"))
+    words = rows.groupBy("record_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words")).where("size(words) > 0")
+    rows = rows.drop("words").join(words, "record_id")
+    alike = ["form", "year", "people", "words"]
+    # records, and works, that can't be told apart are compared once
+    records = cut(rows.withColumn("id", F.min("record_id").over(Window.partitionBy(*alike))))
+    works = w.where("work_id IS NOT NULL").select("work_id", link_form(F.col("candidate_title")).alias("form"), F.col("candidate_year").alias("year"), L.family_names(F.col("candidate_authors")).alias("people"), F.array_sort(F.array_distinct(form("candidate_title"))).alias("words"))
+    works = cut(works.where("size(words) > 0").groupBy(*alike).agg(F.min("work_id").alias("id")))
+    found = L.promising(records.select("id", *alike).distinct(), works)
+    ids = found.join(records.select(F.col("id").alias("record"), "record_id"), "record").select("record_id", F.col("work").alias("work_id")).distinct()
     pairs = ids.join(p, "record_id").join(w, "work_id")
     return L.best_candidate(pairs, "record_id", "title", "creator", "source_year", "candidate_title", "candidate_authors", "candidate_year", "work_id").select("record_id", "work_id", "score")
 
