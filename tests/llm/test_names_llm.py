@@ -61,6 +61,20 @@ def test_hot_word_needs_a_second_part(frame):
     assert linked(2) == linked(10**9) and len(linked(2)) > 10
 
 
+def test_hot_word_loses_nothing(frame):
+    """Organisations still meet people that have a hot word, as do names in which a word stands twice."""
+    import random
+
+    rng = random.Random(5)
+    values = ["University of Hanson", "Hanson", "Hansson", "Max Krasada Institute", "Max Krasada Insitute", "Hanson Hanson", "Hansen Hansen", "Hanson, H.", "Hansen Hanson", "Krasada Krasada, J."]
+    values += [" ".join(rng.choice(["Hanson", "Hansen", "Hannson", "Krasada", "Krasda", "J.", "Jane", "Jon", "John", "University", "Inst.", "H."]) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    rows = P.parsed(names_of(frame, [*dict.fromkeys(values)])).select("node", "org", "words", "initials").dropDuplicates(["node"])
+    linked = lambda hot: {(r["a"], r["b"], r["kind"]) for r in P.verified(P.candidates(rows, hot=hot)).collect()}
+    every = linked(10**9)
+    assert {("Ohanson|", "hanson|"), ("hansen hansen|", "hanson hanson|")} <= {x[:2] for x in every}
+    assert linked(1) == every
+
+
 def test_umlauts_of_short_words(frame):
     got = {(r["x"], r["y"]) for r in P.similar_words(frame([("bar",), ("baer",), ("mueller",), ("muller",), ("bur",)], "word string")).collect()}
     assert got == {("bar", "baer"), ("baer", "bar"), ("mueller", "muller"), ("muller", "mueller")}
