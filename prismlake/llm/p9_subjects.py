@@ -5,10 +5,10 @@
 2. Document counts of all words over all documents, by language. Vocabulary: words in at least MIN_DOCS + MIN_SHARE of
    the documents (so at most the average number of distinct words / MIN_SHARE, whatever the collection's size) that are
    in no more than MAX_SHARE of the documents of any language.
-3. Normalised document vectors (squared idf, random projection to DIMENSIONS). Bisecting k-means makes a tree of them, on
-   at most about TREE_DOCS documents by hash; every document then gets the NEAREST leaves, weighted by likeness.
-4. Leaves are labelled by their discriminative terms: each area's terms come from the hand-labelled documents (at most
-   LABELLED documents, by hash) and its name and note; the labels inside the leaf count as well. So every leaf has a
+3. Normalised document vectors (squared idf, random projection to DIMENSIONS). Bisecting k-means makes a tree of all of
+   them; every document then gets the NEAREST leaves, weighted by likeness.
+4. Leaves are labelled by their discriminative terms: each area's terms come from all hand-labelled documents and its name
+   and note; the labels inside the leaf count as well. So every leaf has a
    mixture of areas, and every word one through the leaves it occurs in.
 5. Every sentence is put to an area or to none: its words must point to the area, and among the areas that they point
    to the mixture of the document's leaves decides with them. From these sentences, over all documents, the leaves'
@@ -16,7 +16,7 @@
 6. A document's mixture is that of its leaves, sharpened to its own sentences: the share of its sentences with an area
    that each area has; areas of at least CASE_SHARE are its subjects.
 
-All documents are read seven times: words, vectors, words by leaf, two counts, labels and the mixtures.
+All documents are read eight times: words, vectors, leaves, words by leaf, two counts, labels and the mixtures.
 
 Defined results: null, empty and blank texts and documents without a sentence on any area have no rows; labels of
 unknown documents or areas are left out; of repeated rows of a document each counts, and p9_found gives equal rows once;
@@ -43,9 +43,10 @@ MAX_SHARE = 0.30
 LANGUAGE_DOCS = 200
 DIMENSIONS = 96
 LEAVES = 320
-#: Bound of the sample the tree is fitted on; all documents are assigned.
+#: Documents of a task while the tree is fitted, on all of them, unless there are fewer tasks than cores.
 TREE_DOCS = 20_000
 NEAREST, SHARPNESS = 3, 8
+#: Labelled documents up to which their labels are broadcast; more are joined with a shuffle.
 LABELLED = 20_000
 TOP_TERMS = 150
 LEAF_WEIGHT = 6.0
@@ -175,21 +176,30 @@ def _vectors(part: pd.DataFrame, ids: np.ndarray, project: np.ndarray) -> tuple[
     return doc[first], v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
 
-def tree(docs: DataFrame, vocab: pd.DataFrame, n: int, leaves: int | None = None) -> np.ndarray:
-    """Centres of the leaves of a bisecting k-means tree (cosine distance) over about TREE_DOCS documents, by hash."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
-
+def with_vectors(docs: DataFrame, vocab: pd.DataFrame) -> DataFrame:
+    """(doc_id, ids, v): v is empty if a document has no word of the vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab[["id", "idf"]], DIMENSIONS))
-    sample = docs if n <= TREE_DOCS else docs.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < int(1e6 * TREE_DOCS / n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         space = _vectorise(*shared.value)
         for pdf in batches:
             for start in range(0, len(pdf), 500):
-                yield pd.DataFrame({"v": list(_vectors(pdf.iloc[start : start + 500], *space)[1])})
+                part = pdf.iloc[start : start + 500]
+                of = [np.empty(0, np.float32)] * len(part)
+                for k, v in zip(*_vectors(part, *space)):
+                    of[k] = v
+                yield part[["doc_id", "ids"]].assign(v=of)
+
+    return docs.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids array<int>, v array<float>")
+
+
+def tree(docs: DataFrame, n: int, leaves: int | None = None) -> np.ndarray:
+    """Centres of the leaves of a bisecting k-means tree (cosine distance) over all documents. docs: (v)."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.functions import array_to_vector
 
-    points = cut(sample.select("ids").mapInPandas(run, "v array<float>")).select(array_to_vector("v").alias("features"))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-n // TREE_DOCS))
+    points = docs.where("size(v) > 0").select(array_to_vector("v").alias("features")).coalesce(tasks)
     if points.isEmpty():
         return np.empty((0, DIMENSIONS), np.float32)
     model = BisectingKMeans(k=leaves or LEAVES, maxIter=8, seed=SEED, distanceMeasure="cosine").fit(points)
@@ -197,29 +207,29 @@ def tree(docs: DataFrame, vocab: pd.DataFrame, n: int, leaves: int | None = None
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
 
 
-def nearest_leaves(docs: DataFrame, vocab: pd.DataFrame, centres: np.ndarray) -> DataFrame:
+def nearest_leaves(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     """(doc_id, ids, leaves, weights): each document with its NEAREST leaves, the nearest first, whose weights sum up to 1;
-    without leaves if it has no word of the vocabulary."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab[["id", "idf"]], centres))
+    without leaves if it has no vector. docs: (doc_id, ids, v)."""
+    shared = docs.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, c = shared.value
-        space = _vectorise(table, c.shape[1])
+        c = shared.value
         near = min(NEAREST, len(c))
         for pdf in batches:
             for start in range(0, len(pdf), 500):
                 part = pdf.iloc[start : start + 500]
-                rows, v = _vectors(part, *space)
-                likeness = v @ c.T
-                top = np.argsort(-likeness, axis=1, kind="stable")[:, :near].astype(np.int32)
-                w = np.maximum(np.take_along_axis(likeness, top, axis=1), 1e-3) ** SHARPNESS
+                rows = np.flatnonzero(part["v"].map(len).to_numpy())
                 leaves = [np.empty(0, np.int32)] * len(part)
                 shares = [np.empty(0, np.float32)] * len(part)
-                for k, a, b in zip(rows, top, (w / w.sum(axis=1, keepdims=True)).astype(np.float32)):
-                    leaves[k], shares[k] = a, b
+                if len(rows):
+                    likeness = np.stack(part["v"].iloc[rows].tolist()) @ c.T
+                    top = np.argsort(-likeness, axis=1, kind="stable")[:, :near].astype(np.int32)
+                    w = np.maximum(np.take_along_axis(likeness, top, axis=1), 1e-3) ** SHARPNESS
+                    for k, a, b in zip(rows, top, (w / w.sum(axis=1, keepdims=True)).astype(np.float32)):
+                        leaves[k], shares[k] = a, b
                 yield part[["doc_id", "ids"]].assign(leaves=leaves, weights=shares)
 
-    return docs.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids array<int>, leaves array<int>, weights array<float>")
+    return docs.mapInPandas(run, "doc_id long, ids array<int>, leaves array<int>, weights array<float>")
 
 
 def word_areas(docs: DataFrame, labels: DataFrame, areas: pd.DataFrame, vocab: pd.DataFrame, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,8 +247,9 @@ def word_areas(docs: DataFrame, labels: DataFrame, areas: pd.DataFrame, vocab: p
     known = spark.createDataFrame(pd.DataFrame({"id": vocab["id"].astype("int32")}), "id int")  # bounded, see vocabulary()
     where = {int(x): i for i, x in enumerate(vocab["id"])}
     # the labelled documents, each label with its share
-    per = labels.where(F.col("area_code").isin(codes)).distinct().groupBy("doc_id").agg(F.collect_set("area_code").alias("codes")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    marked = cut(docs.select("doc_id", "ids", "leaf").join(F.broadcast(per), "doc_id"))  # at most LABELLED rows
+    per = labels.where(F.col("area_code").isin(codes)).distinct().groupBy("doc_id").agg(F.collect_set("area_code").alias("codes"))
+    per = cut(per)
+    marked = cut(docs.select("doc_id", "ids", "leaf").join(F.broadcast(per) if per.count() <= LABELLED else per, "doc_id"))
     seen = marked.select(F.explode("codes").alias("code"), F.size("codes").alias("n"), "leaf")
     by_leaf = seen.groupBy("leaf", "code").agg(F.sum(1 / F.col("n")).alias("w")).collect()
     by_word = marked.select(F.explode("codes").alias("code"), F.size("codes").alias("n"), F.array_distinct("ids").alias("ids")).select("code", "n", F.explode("ids").alias("id"))
@@ -395,9 +406,11 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: pd.DataFrame) -> Da
     areas = areas.dropna(subset=["area_code"]).drop_duplicates("area_code").sort_values("area_code", ignore_index=True)
     if not len(vocab) or not len(areas):
         return empty
-    centres = tree(docs, vocab, n)
-    docs, _ = keep(nearest_leaves(docs, vocab, centres))
+    docs, vectors = keep(with_vectors(docs, vocab))
     drop(spark, words_only)
+    centres = tree(docs, n)
+    docs, _ = keep(nearest_leaves(docs, centres))
+    drop(spark, vectors)
     docs = docs.withColumn("leaf", F.get("leaves", F.lit(0)))
     counts, other, mixture = word_areas(docs, labels, areas, vocab, len(centres))
     ids = vocab["id"].to_numpy(np.int32)

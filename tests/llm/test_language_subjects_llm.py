@@ -148,6 +148,23 @@ def test_subjects(spark, monkeypatch):
     assert np.mean([got.get(i) == w for i, w in want.items()]) > 0.95 and not {1000, 1001, 1002} & set(got)
 
 
+def test_subjects_take_all_documents_and_labels(spark, monkeypatch):
+    """The bounds that once cut the tree's documents and the labels change nothing."""
+    monkeypatch.setattr(A, "LEAVES", 6)
+    monkeypatch.setattr(A, "MAX_SHARE", 0.6)
+    docs, labels = subject_rows(200)
+    areas = pd.DataFrame({"area_code": ["law", "bio", "art"], "area_name": ["?", "?", "?"], "scope_note": [None, None, None]})
+    d = spark.createDataFrame([x[:3] for x in docs], "doc_id long, lang string, text string").coalesce(1)
+    l = spark.createDataFrame(labels, "doc_id long, area_code string")
+    seen, real = [], A.word_areas
+    monkeypatch.setattr(A, "word_areas", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = {tuple(r) for r in A.subjects(d, l, areas).collect()}
+    monkeypatch.setattr(A, "TREE_DOCS", 20)
+    monkeypatch.setattr(A, "LABELLED", 3)
+    assert {tuple(r) for r in A.subjects(d, l, areas).collect()} == got and len(got) > 190
+    assert all(np.allclose(x, y) for x, y in zip(*seen))
+
+
 def test_subjects_empty(spark):
     d, l = spark.createDataFrame([], "doc_id long, lang string, text string"), spark.createDataFrame([], "doc_id long, area_code string")
     assert A.subjects(d, l, pd.DataFrame({"area_code": ["law"], "area_name": ["Law"], "scope_note": [None]})).collect() == []
